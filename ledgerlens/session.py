@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once for each context, so that Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerlens_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="ledgerlens-ship-"), "ledgerlens_package.zip")
+    with zipfile.ZipFile(packed, "w") as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, path.relative_to(top.parent))
+    context.addPyFile(str(packed))
+    context._ledgerlens_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
