@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import exact_dedup, token_counts
+from ledgerlens.llm import chat_views, exact_dedup, mixing, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (exact_dedup, token_counts):
+for _module in (chat_views, exact_dedup, mixing, token_counts):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
