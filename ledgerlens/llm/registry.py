@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat_views, exact_dedup, mixing, token_counts
+from ledgerlens.llm import chat_views, exact_dedup, mixing, token_counts, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (chat_views, exact_dedup, mixing, token_counts):
+for _module in (chat_views, exact_dedup, mixing, token_counts, warc):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
