@@ -128,7 +128,7 @@ def counter(path: str, packed: bytes) -> PreTokenCounter:
     return PreTokenCounter(path, {x[1:]: ord(x[0]) for x in lines})
 
 
-def frequent_table(docs: DataFrame, text_col: str, path: str, sample_docs: int, frequent: int) -> bytes:
+def frequent_table(docs: DataFrame, id_col: str, text_col: str, path: str, sample_docs: int, frequent: int) -> bytes:
     """The packed table: the most frequent pre-tokens of the sample with their lengths."""
     every = max(1, docs.count() // sample_docs)
 
@@ -143,7 +143,7 @@ def frequent_table(docs: DataFrame, text_col: str, path: str, sample_docs: int,
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in top]), pa.array([x[1] for x in top], pa.int64())], ["word", "n"])
 
     text = F.col(text_col)
-    chosen = docs.select(text.alias("text")).filter(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(every)) == 0))
+    chosen = docs.select(text.alias("text")).filter(text.isNotNull() & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0))
     total: Counter = Counter()
     for row in chosen.mapInArrow(tally, "word string, n long").toLocalIterator():
         total[row.word] += row.n
@@ -157,7 +157,7 @@ def count_tokens(
     """id_col, n_bytes, n_tokens and over_limit for every row of ``docs``; ``path`` is the tokenizer's file."""
     spark = docs.sparkSession
     bound_batches(spark)
-    packed = spark.sparkContext.broadcast(frequent_table(docs, text_col, path, sample_docs, frequent))
+    packed = spark.sparkContext.broadcast(frequent_table(docs, id_col, text_col, path, sample_docs, frequent))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
