@@ -72,6 +72,18 @@ class Words:
         powers = powers_to(int(size.max()))
         return mix(np.add.reduceat(_CODES[letters] * powers[place], at) + size.astype(np.uint64) * _STEP)
 
+    def prefixes(self, n: int) -> np.ndarray:
+        """A hash of each word's first n bytes; 0 for shorter words."""
+        long = self.lengths >= n
+        found = np.zeros(len(long), np.uint64)
+        if long.any():
+            at = self.starts[long]
+            total = np.full(len(at), n, np.uint64) * np.uint64(0x9FB21C651E98DF25)
+            for k in range(n):
+                total += _CODES[self.data[at + k]] * _POWERS[k]
+            found[long] = mix(total) | np.uint64(1)
+        return found
+
     @property
     def owner(self) -> np.ndarray:
         """The text, counted in the block, of each word."""
@@ -95,24 +107,34 @@ def views(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), off
 
 
-def words(texts: pa.Array, block: int = BLOCK) -> Iterator[Words]:
-    """The words of all texts, in blocks of rows."""
+def blocks(texts: pa.Array, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, range]]:
+    """The bytes of consecutive rows, where each row begins and the last ends, and the rows."""
     if not len(texts):
         return
     data, off = views(texts)
     row = 0
     while row < len(texts):
         last = max(row + 1, int(np.searchsorted(off, off[row] + block, "right")) - 1)
-        part, at = data[off[row] : off[last]], off[row : last + 1] - off[row]
-        inside = ~_SPACE[part]
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1]
-        cut = at[:-1][at[:-1] < len(part)]
-        begin[cut] = inside[cut]
-        stop = inside.copy()
-        stop[:-1] &= ~inside[1:]
-        ends = at[1:][at[1:] > 0] - 1
-        stop[ends] = inside[ends]
-        starts = np.flatnonzero(begin)
-        yield Words(_LOWER[part], starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, at), range(row, last))
+        yield data[off[row] : off[last]], off[row : last + 1] - off[row], range(row, last)
         row = last
+
+
+def cut(data: np.ndarray, at: np.ndarray, rows: range, apart: np.ndarray = _SPACE, fold: np.ndarray = _LOWER) -> Words:
+    """The words of a block: runs of bytes that ``apart`` doesn't name, folded by ``fold``; none crosses a row."""
+    inside = ~apart[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    first = at[:-1][at[:-1] < len(data)]
+    begin[first] = inside[first]
+    stop = inside.copy()
+    stop[:-1] &= ~inside[1:]
+    final = at[1:][at[1:] > 0] - 1
+    stop[final] = inside[final]
+    starts = np.flatnonzero(begin)
+    return Words(fold[data], starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, at), rows)
+
+
+def words(texts: pa.Array, block: int = BLOCK) -> Iterator[Words]:
+    """The words of all texts, in blocks of rows."""
+    for data, at, rows in blocks(texts, block):
+        yield cut(data, at, rows)

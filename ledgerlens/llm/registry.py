@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat_views, exact_dedup, language_id, mixing, token_counts, warc
+from ledgerlens.llm import chat_views, exact_dedup, language_id, mixing, token_counts, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (chat_views, exact_dedup, language_id, mixing, token_counts, warc):
+for _module in (chat_views, exact_dedup, language_id, mixing, token_counts, toxicity, warc):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
