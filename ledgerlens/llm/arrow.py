@@ -22,6 +22,8 @@ BATCH_ROWS = "2000"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII other than letters and digits; bytes of other letters stay in words.
+SIGNS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _CODES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
@@ -134,7 +136,7 @@ def cut(data: np.ndarray, at: np.ndarray, rows: range, apart: np.ndarray = _SPAC
     return Words(fold[data], starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, at), rows)
 
 
-def words(texts: pa.Array, block: int = BLOCK) -> Iterator[Words]:
+def words(texts: pa.Array, block: int = BLOCK, apart: np.ndarray = _SPACE) -> Iterator[Words]:
     """The words of all texts, in blocks of rows."""
     for data, at, rows in blocks(texts, block):
-        yield cut(data, at, rows)
+        yield cut(data, at, rows, apart)
