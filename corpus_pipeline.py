@@ -1,8 +1,60 @@
-"""The corpus pipeline; its stages follow with their operators."""
+"""The corpus pipeline: toxic documents go, then exact copies, near copies and benchmark passages; sources are mixed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept; ``run`` writes each
+result to the shared folder and reads it back, so that a lost executor costs one stage's tasks and no more. All
+stages but the last return the columns of ``documents``; the last returns the mix. Null texts count as empty, a null
+id stays unless its text is a copy or rejected, empty tables pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ledgerlens.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
+from ledgerlens.session import materialize, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the model is fitted on the labelled ones."""
+    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: five-word shingles, similarity 0.8."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken."""
+    return mixing.mix_sources(docs).select(
+        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_exact),
+    ("near_dedup", drop_near),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix),
+]
+#: The fitted classifier of the first stage can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -287,10 +287,33 @@ def contaminated(
     return result.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.cosine", "best.lcs_share", "best.answer_share")
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text",
+    cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER_SHARE, sure: float = SURE,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark item; a filter for each block of items."""
+    spark = docs.sparkSession
+    space = latent_space(docs, id_col, text_col)
+    lowered = "__lowered"
+    kept = docs.withColumn(lowered, F.lower(text_col))
+    for block in item_blocks(benchmark, item_text_col, item_text_col):
+        shared = spark.sparkContext.broadcast((space, Items.of([None] * len(block), [r[1] for r in block], space)))
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            space, items = shared.value
+            for batch in batches:
+                good = np.ones(batch.num_rows, bool)
+                good[[hit[0] for hit in scan(batch.column(batch.num_columns - 1), space, items, cosine, lcs, answer, sure)]] = False
+                yield batch.filter(pa.array(good))
+
+        kept = kept.mapInArrow(clean, kept.schema)
+    return kept.drop(lowered)
+
+
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int = ITEM_BLOCK) -> Iterator[list]:
     """The items, a bounded number at a time; the benchmark is read as a stream."""
     block = []
-    for row in benchmark.select(item_col, F.lower(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(item_col).alias("item"), F.lower(text_col).alias("words")).filter("words is not null").toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == size:
             yield block

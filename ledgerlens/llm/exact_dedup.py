@@ -66,6 +66,22 @@ def exact_groups(
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one for each text.
+
+    Rows that go are named by id and digest and taken out by an anti join; only where rows repeat both are the
+    repeats dropped in a further step.
+    """
+    groups = materialize(exact_groups(docs, id_col, text_col, salts), "exact-members")
+    gone = groups.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__id"), F.col("digest").alias("__of"))
+    marked = docs.withColumn("__digest", sha256(fold_ascii(F.col(text_col))))
+    stay = marked.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left_anti")
+    kept = groups.filter(F.col("id").eqNullSafe(F.col("keep_id")))
+    if not kept.groupBy("id", "digest").count().filter("count > 1").isEmpty():
+        stay = stay.dropDuplicates([id_col, "__digest"])
+    return stay.drop("__digest")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of ``documents`` with the row of their group that stays."""
     return exact_groups(table(spark, sf_dir, "documents")).select(

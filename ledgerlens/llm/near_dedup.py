@@ -207,6 +207,17 @@ def near_duplicates(
     )
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each component the document with the smallest id.
+
+    Rows with null id stay; they have no place in a component.
+    """
+    found = near_duplicates(docs, id_col, text_col, **how)
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = materialize(gone, "near-gone")
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all ``documents``: four-word shingles, similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
