@@ -6,8 +6,9 @@
 2. A class has ``bands`` x ``rows`` universal hash minima; the hash of each band's minima is a bucket key.
 3. Buckets of at most ``small`` classes give all their pairs. A larger bucket gives pairs of its members with one
    center, as many as it has members; rounds with other centers follow for buckets whose members aren't in one
-   component yet, and after ``rounds`` of them the pairs between different components of such a bucket are compared
-   outright. So no link is lost to bucket size, and pairs within a component aren't spelled out.
+   component yet. Texts still apart after ``rounds`` of them are joined on their rarest shingles (prefix filtering,
+   which is exact), and the pairs between different components compared. So no link is lost to bucket size, and pairs
+   within a component aren't spelled out.
 4. Candidates whose sizes or minima can't reach the similarity are dropped (the estimate must be ``slack`` below it to
    drop a pair, five standard deviations); the others are confirmed on full sets, recomputed from whole texts.
 5. Confirmed links are joined to components by alternating large-star and small-star.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ledgerlens.llm.arrow import bound_batches, mix, odd_numbers, words
 from ledgerlens.llm.graph import components
@@ -36,7 +37,9 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 36, 5
 SMALL = 8
-ROUNDS = 3
+ROUNDS = 1
+#: Ids of candidate texts are broadcast up to this number (16 MB).
+BROADCAST_IDS = 2_000_000
 SLACK = 0.16
 
 _PLACES = odd_numbers(64, 41)
@@ -130,11 +133,16 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int, slack: float) ->
     return joined.select("low", "high", "m_low", "m_high").mapInArrow(compare, f"low {kinds['low']}, high {kinds['high']}")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+def candidate_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of the rows of ``docs`` that ``ids`` names; the ids are broadcast only if few enough."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return materialize(texts.join(ids, "id", "left_semi"), "near-texts")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (low, high) whose texts' full sets are similar."""
-    wanted = pairs.select(F.col("low").alias("id")).union(pairs.select("high")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    texts = materialize(texts, "near-texts")
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     joined = pairs.join(texts.select(F.col("id").alias("low"), F.col("text").alias("a")), "low")
     joined = joined.join(texts.select(F.col("id").alias("high"), F.col("text").alias("b")), "high").select("low", "high", "a", "b")
@@ -150,6 +158,53 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shing
     return joined.mapInArrow(compare, f"low {kinds['low']}, high {kinds['high']}").distinct()
 
 
+def still_open(entries: DataFrame) -> DataFrame:
+    """The entries (key, id, component) of buckets with more than one component."""
+    split = entries.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("key")
+    return materialize(entries.join(split, "key", "left_semi"), "near-open")
+
+
+def prefixes(entries: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """shingle, id and component: of each open text its rarest shingles, so many that similar texts share one of them.
+
+    Texts of n and m shingles need percent / (100 + percent) of n + m in common; m is at least percent of n and at least
+    the smallest size in the buckets. If fewer than that many of a text's shingles come after its prefix, in one order
+    of all shingles by rarity, two similar texts have a shingle of both prefixes in common. One order, by the number of
+    open texts with a shingle, puts what is peculiar to a text first, and what only one has is left out.
+    """
+    kind = entries.schema["id"].dataType.simpleString()
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1), shingle))
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            every = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(every)], ["id", "shingle"])
+
+    sized = entries.join(nodes.select("id", "n"), "id")
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    facts = sized.join(least, "key").groupBy("id").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.first("component").alias("component"))
+    smallest = F.greatest(F.ceil(F.col("n") * percent / 100.0), F.col("least"))
+    common = F.ceil((F.col("n") + smallest) * percent / F.lit(100.0 + percent))
+    facts = facts.select("id", "component", "n", (F.col("n") - common + 1).alias("prefix"))
+    spelled = materialize(texts.join(facts.select("id"), "id", "left_semi").select("id", "text").mapInArrow(spell, f"id {kind}, shingle long"), "near-spelled")
+    counted = spelled.join(spelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")), "shingle")
+    place = F.row_number().over(W.partitionBy("id").orderBy("texts", "shingle"))
+    return counted.withColumn("place", place).join(facts, "id").filter("place <= prefix and texts > 1").select("shingle", "id", "component", "n", "place")
+
+
+def prefix_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """x and id of different components that share a shingle in the prefixes which their two sizes call for.
+
+    What precedes the shared shingle, and what follows it, can hold no more in common than the shorter part has.
+    """
+    left = rare.withColumnsRenamed({"id": "x", "component": "cx", "n": "nx", "place": "px"})
+    common = F.ceil((F.col("nx") + F.col("n")) * percent / F.lit(100.0 + percent))
+    most = F.least("px", "place") + F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place"))
+    near = (F.col("px") <= F.col("nx") - common + 1) & (F.col("place") <= F.col("n") - common + 1) & (most >= common)
+    return left.join(rare, (left.shingle == rare.shingle) & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("component")) & near).select("x", "id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
     rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS, slack: float = SLACK,
@@ -163,38 +218,41 @@ def near_duplicates(
     nodes = materialize(signed.join(reps, [*match, "id"], "left_semi").dropDuplicates(["id"]), "near-nodes")
 
     entries = nodes.select("id", F.explode("keys").alias("key"))
-    buckets = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("center")).filter("members > 1"), "near-buckets")
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("center")).filter("members > 1")
     shared = materialize(entries.join(buckets, "key"), "near-entries")
+    texts = candidate_texts(docs, materialize(shared.select("id").distinct(), "near-ids"), id_col, text_col)
 
     def pairs_of(frame: DataFrame, a: str, b: str) -> DataFrame:
         return frame.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).filter("low <> high")
 
     def links(pairs: DataFrame) -> DataFrame:
         likely = materialize(plausible(pairs.distinct(), nodes, percent, slack), "near-likely")
-        return materialize(confirm(likely, docs, id_col, text_col, shingle, percent), "near-links")
+        return materialize(confirm(likely, texts, shingle, percent), "near-links")
 
     few = shared.filter(F.col("members") <= small).groupBy("key").agg(F.collect_list("id").alias("ids"))
     few = few.select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).filter("x < y")
-    many = shared.filter(F.col("members") > small)
+    many = shared.filter(F.col("members") > small).select("key", "id", "center")
     found = links(pairs_of(few, "x", "y").union(pairs_of(many, "id", "center")))
     grouped = materialize(components(found), "near-components")
 
+    def placed(open_entries: DataFrame) -> DataFrame:
+        named = open_entries.select("key", "id").join(grouped, F.col("id") == grouped.vertex, "left")
+        return still_open(named.select("key", "id", F.coalesce("component", "id").alias("component")))
+
+    apart = placed(many)
     for turn in range(1, rounds + 1):
-        placed = many.join(grouped, many.id == grouped.vertex, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        split = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("key")
-        open_entries = materialize(placed.join(split, "key", "left_semi"), "near-open")
-        if open_entries.isEmpty():
+        if apart.isEmpty():
             break
-        if turn < rounds:
-            # Another center for each open bucket: the member first in a hash order of this turn.
-            order = F.xxhash64(F.lit(turn), "id")
-            center = open_entries.groupBy("key").agg(F.min_by(F.struct("id", "component"), order).alias("center"))
-            tried = open_entries.join(center, "key").filter(F.col("component") != F.col("center.component"))
-            pairs = pairs_of(tried.select("id", F.col("center.id").alias("other")), "id", "other")
-        else:
-            left = open_entries.withColumnsRenamed({"id": "x", "component": "cx"})
-            pairs = pairs_of(left.join(open_entries, "key").filter("x < id and cx <> component"), "x", "id")
-        found = found.union(links(pairs))
+        # Another center for each open bucket: the member first in a hash order of this turn.
+        order = F.xxhash64(F.lit(turn), "id")
+        center = apart.groupBy("key").agg(F.min_by(F.struct("id", "component"), order).alias("center"))
+        tried = apart.join(center, "key").filter(F.col("component") != F.col("center.component"))
+        found = found.union(links(pairs_of(tried.select("id", F.col("center.id").alias("other")), "id", "other")))
+        grouped = materialize(components(found), "near-components")
+        apart = placed(apart)
+    if not apart.isEmpty():
+        rare = materialize(prefixes(apart, texts, nodes, shingle, percent), "near-prefixes")
+        found = found.union(links(pairs_of(prefix_pairs(rare, percent), "x", "id")))
         grouped = materialize(components(found), "near-components")
 
     of_class = classes.join(grouped, classes.rep == grouped.vertex, "left").select(*match, F.coalesce("component", "rep").alias("component_id"))
