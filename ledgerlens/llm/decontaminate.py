@@ -63,15 +63,16 @@ def sketch_block(found: Words, seeds: np.ndarray, sketch: np.ndarray, df: np.nda
     draw = mix(seeds[text] * _KEY[0] + (np.arange(total) - first[text]).astype(np.uint64) * _KEY[1])
     row, sign = (draw >> np.uint64(57)).astype(np.int64) % SKETCH, np.where(draw & np.uint64(1), 1, -1)
     feature = feature_of(found.hashes)
-    at, back = np.unique(row[passage] * FEATURES + feature, return_inverse=True)
-    sketch[at] += np.bincount(back, sign[passage], len(at)).astype(np.int32)
-    df += np.bincount(np.unique(passage * FEATURES + feature) % FEATURES, minlength=FEATURES)
+    np.add.at(sketch, row[passage] * FEATURES + feature, sign[passage].astype(np.int32))
+    pairs = passage * FEATURES + feature
+    pairs = np.sort(pairs.astype(np.int32) if total < 1 << (31 - FEATURE_BITS) else pairs)
+    df += np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]] % FEATURES, minlength=FEATURES)
     return total
 
 
 @dataclass
 class Space:
-    """Vectors of words: inverse document frequency times the latent basis, and times random directions."""
+    """Vectors of words: inverse document frequency times the latent basis, and times random directions; a zero last."""
 
     vectors: np.ndarray
 
@@ -84,7 +85,12 @@ class Space:
             return np.zeros((0, self.vectors.shape[1]), np.float32), owner, owner
         order = np.arange(len(owner)) - np.repeat(np.cumsum(strides) - strides, strides)
         begin = found.first[owner] + order * STRIDE
-        sums = np.add.reduceat(self.vectors[feature_of(found.hashes)], begin, axis=0)
+        # The words of each stride as a row; places after a text's end have the last vector, which is zero.
+        features = np.append(feature_of(hashes_of(found)), FEATURES)
+        stop = found.first[owner + 1]
+        sums = self.vectors.take(features[begin], axis=0)
+        for k in range(1, STRIDE):
+            sums += self.vectors.take(features[np.where(begin + k < stop, begin + k, len(features) - 1)], axis=0)
         both = sums.copy()
         for k in range(1, WINDOW // STRIDE):
             more = owner[k:] == owner[:-k]
@@ -156,7 +162,8 @@ def solve(sketch: np.ndarray, df: np.ndarray, passages: int) -> Space:
     basis[:, good] = scaled.T @ left[:, good] / np.sqrt(values[good])
     random = np.random.default_rng(62).choice([-1.0, 1.0], (FEATURES, RANK)) / np.sqrt(RANK)
     outside = random - basis @ (basis.T @ random)
-    return Space((np.hstack([basis, outside]) * idf[:, None]).astype(np.float32))
+    vectors = np.hstack([basis, outside]) * idf[:, None]
+    return Space(np.vstack([vectors, np.zeros((1, 2 * RANK))]).astype(np.float32))
 
 
 @dataclass
