@@ -271,7 +271,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
 
         kind = "model binary, tokens long"
         models = dealt.mapInArrow(learn, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        sums = models.repartition(SALTS, "salt").drop("salt").mapInArrow(_average, kind).coalesce(1).mapInArrow(_average, kind).collect()
+        sums = models.repartition(SALTS, "salt").drop("salt").mapInArrow(_average, kind).repartition(1).mapInArrow(_average, kind).collect()
         if sums:
             packed = (np.frombuffer(sums[0].model, np.float64) / sums[0].tokens).astype(np.float32).tobytes()
     return Model(vocabulary, packed)
