@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,9 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, as libraries other than Hadoop's need it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub(r"^file:/+", "file:///", found)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/ledgerlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{qualified(spark, shared_dir(spark))}/ledgerlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
 
