@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 NAME_LABELS = ("patient", "name", "last", "first", "middle", "initial", "insured")
 STATE_ZIP = r"^(.*?)[,\s]+([A-Z]{2})\s+(\d{5})(?:-?(\d{4}))?$"
 #: Readings of signs that OCR takes for digits, and of letters for each other.
-NUMERIC_GLYPHS = ("OoQDIlL|SsBZz", "000011115582" + "2")
+NUMERIC_GLYPHS = ("OoQDIlL|SsBZz", "0000111155822")
 
 
 def collapse_spaces(x: Column) -> Column:
@@ -72,9 +72,9 @@ def currency(x: Column) -> Column:
 
 
 def checkbox(x: Column) -> Column:
-    """True, false or null for a mark."""
-    mark = F.lower(F.trim(F.coalesce(x, F.lit(""))))
-    return F.when(mark.isin("x", "yes", "y", "true", "1", "checked"), True).when(mark.isin("no", "n", "false", "0", "unchecked"), False)
+    """True, false or null for a mark; an empty box is false."""
+    mark = F.upper(F.trim(F.coalesce(x, F.lit(""))))
+    return F.when(mark.isin("X", "[X]", "YES"), True).when(mark.isin("", "[ ]", "NO"), False)
 
 
 def numeric_glyphs(x: Column) -> Column:

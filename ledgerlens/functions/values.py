@@ -234,7 +234,9 @@ def sniff(head: Column) -> Column:
 
 
 #: TIFF compression tags.
-TIFF_COMPRESSION = {1: "NONE", 2: "CCITT_RLE", 3: "CCITT_T4", 4: "CCITT_T6", 5: "LZW", 6: "JPEG_OLD", 7: "JPEG", 8: "DEFLATE", 32773: "PACKBITS"}
+TIFF_COMPRESSION = {
+    1: "UNCOMPRESSED", 2: "CCITT_G3", 3: "CCITT_G3", 4: "CCITT_G4", 5: "LZW", 6: "JPEG", 7: "JPEG", 8: "DEFLATE", 32773: "PACKBITS",
+}
 
 
 def tiff_compression(tag: Column) -> Column:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import tpch
+from ledgerlens.plans import accuracy, claims, tpch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "pricing_summary"
+FLAGSHIP = "accuracy_summary"
 
-for _module in (tpch,):
+for _module in (accuracy, claims, tpch):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
