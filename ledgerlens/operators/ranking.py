@@ -63,7 +63,7 @@ def runs(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def rate_window(df: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """How many rows of the key fall in the last ``seconds`` seconds, this one included."""
-    w = W.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    w = W.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return df.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 

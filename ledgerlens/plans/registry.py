@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import accuracy, claims, tpch
+from ledgerlens.plans import accuracy, claims, governance, scalars, tpch, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "accuracy_summary"
 
-for _module in (accuracy, claims, tpch):
+for _module in (accuracy, claims, governance, scalars, tpch, windows):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
