@@ -7,8 +7,8 @@
 3. Buckets of at most ``small`` classes give all their pairs. A larger bucket gives pairs of its members with one
    center, as many as it has members; rounds with other centers follow for buckets whose members aren't in one
    component yet. Texts still apart after ``rounds`` of them are joined on their rarest shingles (prefix filtering,
-   which is exact), and the pairs between different components compared. So no link is lost to bucket size, and pairs
-   within a component aren't spelled out.
+   which is exact): first one text of each component, then all pairs that are still between different components. So
+   no link is lost to bucket size, and pairs within a component aren't spelled out.
 4. Candidates whose sizes or minima can't reach the similarity are dropped (the estimate must be ``slack`` below it to
    drop a pair, five standard deviations); the others are confirmed on full sets, recomputed from whole texts.
 5. Confirmed links are joined to components by alternating large-star and small-star.
@@ -205,6 +205,11 @@ def prefix_pairs(rare: DataFrame, percent: int) -> DataFrame:
     return left.join(rare, (left.shingle == rare.shingle) & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("component")) & near).select("x", "id")
 
 
+def closest_of_each(rare: DataFrame) -> DataFrame:
+    """Of each shingle and component the text with the fewest rarer shingles: one stands for all to join components by."""
+    return rare.groupBy("shingle", "component").agg(F.min(F.struct("place", "id", "n")).alias("r")).select("shingle", "component", "r.id", "r.n", "r.place")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
     rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS, slack: float = SLACK,
@@ -251,9 +256,14 @@ def near_duplicates(
         grouped = materialize(components(found), "near-components")
         apart = placed(apart)
     if not apart.isEmpty():
+        # First one text for each shingle and component, which joins large components that are one; then all that is left.
         rare = materialize(prefixes(apart, texts, nodes, shingle, percent), "near-prefixes")
-        found = found.union(links(pairs_of(prefix_pairs(rare, percent), "x", "id")))
-        grouped = materialize(components(found), "near-components")
+        for turn in range(rounds + 1):
+            few_of = closest_of_each(rare) if turn < rounds else rare
+            found = found.union(links(pairs_of(prefix_pairs(few_of, percent), "x", "id")))
+            grouped = materialize(components(found), "near-components")
+            named = rare.drop("component").join(grouped, F.col("id") == grouped.vertex, "left")
+            rare = materialize(named.select("shingle", "id", F.coalesce("component", "id").alias("component"), "n", "place"), "near-prefixes")
 
     of_class = classes.join(grouped, classes.rep == grouped.vertex, "left").select(*match, F.coalesce("component", "rep").alias("component_id"))
     rows_of = signed.select("id", *match)
