@@ -116,10 +116,11 @@ def ratio(a: Column, b: Column) -> Column:
 
 def wilson(successes: Column, n: Column, upper: bool = True, z: float = Z95) -> Column:
     """A bound of the score interval of a share; null without observations."""
-    p = F.try_divide(successes, n)
+    n = F.nullif(n, F.lit(0.0))
+    p = successes / n
     centre = p + z * z / (2 * n)
     spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.try_divide((centre + spread) if upper else (centre - spread), 1 + z * z / n)
+    return ((centre + spread) if upper else (centre - spread)) / (1 + z * z / n)
 
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
