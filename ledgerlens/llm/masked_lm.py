@@ -286,7 +286,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             parts = [shared.value.score(found) for found in words(batch.column(1))]
             n, total = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(total)], ["id", "n_tokens", "sum_log_prob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64))], ["id", "n_tokens", "sum_log_prob"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, sum_log_prob double")
