@@ -68,4 +68,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once nothing that is still to run reads it."""
+    if path := getattr(df, "scratch", None):
+        remove(df.sparkSession, path)
