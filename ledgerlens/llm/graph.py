@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.session import materialize
+from ledgerlens.session import discard, materialize
 
 
 def _pairs(a: str, b: str) -> DataFrame:
@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(*_pairs("low", "high")).filter("low <> high").distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = materialize(small_star(large_star(edges)), "edges")
+        older, edges = edges, materialize(small_star(large_star(edges)), "edges")
+        discard(older)
         before, mark = mark, _mark(edges)
         if mark == before:
             break
