@@ -5,10 +5,9 @@
    however many, cost one aggregation with map-side combine.
 2. A class has ``bands`` x ``rows`` universal hash minima; the hash of each band's minima is a bucket key.
 3. Buckets of at most ``small`` classes give all their pairs. A larger bucket gives pairs of its members with one
-   center, as many as it has members; rounds with other centers follow for buckets whose members aren't in one
-   component yet. Texts still apart after ``rounds`` of them are joined on their rarest shingles (prefix filtering,
-   which is exact): first one text of each component, then all pairs that are still between different components. So
-   no link is lost to bucket size, and pairs within a component aren't spelled out.
+   center, as many as it has members. Texts of buckets that aren't in one component then are joined on their rarest
+   shingles (prefix filtering, which is exact): first one text of each component, then all pairs that are still between
+   different components. So no link is lost to bucket size, and pairs within a component aren't spelled out.
 4. Candidates whose sizes or minima can't reach the similarity are dropped (the estimate must be ``slack`` below it to
    drop a pair, five standard deviations); the others are confirmed on full sets, recomputed from whole texts.
 5. Confirmed links are joined to components by alternating large-star and small-star.
@@ -37,7 +36,6 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 36, 5
 SMALL = 8
-ROUNDS = 1
 #: Ids of candidate texts are broadcast up to this number (16 MB).
 BROADCAST_IDS = 2_000_000
 SLACK = 0.16
@@ -212,7 +210,7 @@ def closest_of_each(rare: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
-    rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS, slack: float = SLACK,
+    rows: int = ROWS, small: int = SMALL, slack: float = SLACK,
 ) -> DataFrame:
     """id_col, n_shingles, component_id and kept for every row of ``docs``."""
     bound_batches(docs.sparkSession)
@@ -231,39 +229,27 @@ def near_duplicates(
         return frame.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).filter("low <> high")
 
     def links(pairs: DataFrame) -> DataFrame:
-        likely = materialize(plausible(pairs.distinct(), nodes, percent, slack), "near-likely")
+        likely = plausible(pairs.distinct(), nodes, percent, slack)
         return materialize(confirm(likely, texts, shingle, percent), "near-links")
 
     few = shared.filter(F.col("members") <= small).groupBy("key").agg(F.collect_list("id").alias("ids"))
     few = few.select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).filter("x < y")
     many = shared.filter(F.col("members") > small).select("key", "id", "center")
     found = links(pairs_of(few, "x", "y").union(pairs_of(many, "id", "center")))
-    grouped = materialize(components(found), "near-components")
-
-    def placed(open_entries: DataFrame) -> DataFrame:
-        named = open_entries.select("key", "id").join(grouped, F.col("id") == grouped.vertex, "left")
-        return still_open(named.select("key", "id", F.coalesce("component", "id").alias("component")))
-
-    apart = placed(many)
-    for turn in range(1, rounds + 1):
-        if apart.isEmpty():
-            break
-        # Another center for each open bucket: the member first in a hash order of this turn.
-        order = F.xxhash64(F.lit(turn), "id")
-        center = apart.groupBy("key").agg(F.min_by(F.struct("id", "component"), order).alias("center"))
-        tried = apart.join(center, "key").filter(F.col("component") != F.col("center.component"))
-        found = found.union(links(pairs_of(tried.select("id", F.col("center.id").alias("other")), "id", "other")))
-        grouped = materialize(components(found), "near-components")
-        apart = placed(apart)
+    grouped = components(found)
+
+    def component_of(rows: DataFrame) -> DataFrame:
+        named = rows.join(grouped, F.col("id") == grouped.vertex, "left")
+        return named.withColumn("component", F.coalesce("component", "id")).drop("vertex")
+
+    apart = still_open(component_of(many.select("key", "id")))
     if not apart.isEmpty():
         # First one text for each shingle and component, which joins large components that are one; then all that is left.
         rare = materialize(prefixes(apart, texts, nodes, shingle, percent), "near-prefixes")
-        for turn in range(rounds + 1):
-            few_of = closest_of_each(rare) if turn < rounds else rare
-            found = found.union(links(pairs_of(prefix_pairs(few_of, percent), "x", "id")))
-            grouped = materialize(components(found), "near-components")
-            named = rare.drop("component").join(grouped, F.col("id") == grouped.vertex, "left")
-            rare = materialize(named.select("shingle", "id", F.coalesce("component", "id").alias("component"), "n", "place"), "near-prefixes")
+        for chosen in (closest_of_each, lambda rows: rows):
+            found = found.union(links(pairs_of(prefix_pairs(chosen(rare), percent), "x", "id")))
+            grouped = components(found)
+            rare = component_of(rare.drop("component")).select(*rare.columns)
 
     of_class = classes.join(grouped, classes.rep == grouped.vertex, "left").select(*match, F.coalesce("component", "rep").alias("component_id"))
     rows_of = signed.select("id", *match)
