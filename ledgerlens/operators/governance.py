@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlens.functions.values import split_of
@@ -85,17 +87,22 @@ def paired_reviews(reviews: DataFrame, asset: str, reviewer: str, label: str, or
 def passage_leakage(documents: DataFrame, passages: DataFrame, document: str, text: str, passage: str, passage_text: str, words: int = 8) -> DataFrame:
     """Passages whose folded words all occur in order in a document, found by equality on their first ``words`` words.
 
-    Only documents that hold a passage's opening as a run of words are compared with it.
+    Only documents that hold a passage's opening as a run of words are compared with it, as whole folded texts.
     """
     from ledgerlens.functions.text import label_fold
 
+    def opening(hashes: Column, at: Column | int) -> Column:
+        """A number for the ``words`` words from a place on, from their hashes; equal words, equal numbers."""
+        return reduce(lambda a, b: a.bitwiseXOR(b), [F.shiftleft(F.element_at(hashes, at + k), k) for k in range(words)])
+
     def runs(split: Column) -> Column:
-        """Runs of words; the inner functions see the split words as a variable, so they are split once."""
-        inner = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda k: F.array_join(F.slice(w, k, words), " "))
-        return F.flatten(F.transform(F.array(split), inner))
+        """The openings at all places; the inner functions see the words' hashes as a variable, so they are made once."""
+        inner = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - words + 1), lambda k: opening(h, k))
+        hashes = F.transform(split, lambda w: F.xxhash64(w))
+        return F.flatten(F.transform(F.filter(F.array(hashes), lambda h: F.size(h) >= words), inner))
 
     known = passages.select(F.col(passage).alias("passage"), label_fold(F.col(passage_text)).alias("p")).withColumn("w", F.split("p", " ")).filter(F.size("w") >= words)
-    known = known.select("passage", "p", F.array_join(F.slice("w", 1, words), " ").alias("opening"))
+    known = known.select("passage", "p", opening(F.transform("w", lambda w: F.xxhash64(w)), F.lit(1)).alias("opening"))
     spelled = documents.select(F.col(document).alias("document"), label_fold(F.col(text)).alias("t"))
     openings = spelled.select("document", F.explode(runs(F.split("t", " "))).alias("opening"))
     met = openings.join(known.select("passage", "opening"), "opening").select("document", "passage").distinct()

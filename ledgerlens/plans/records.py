@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlens.functions.values import picture_length, tiff_compression
 from ledgerlens.sources import files as S, fixed_width as X
-from ledgerlens.session import table
+from ledgerlens.session import scratch_path, table
 
 LINE = X.RecordSpec(
     "20", 40,
@@ -28,6 +28,13 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return X.render(rows, LINE, values)
 
 
+def _written(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The lines written as text files and read back."""
+    path = scratch_path(spark, "fixed-width")
+    lines.write.text(path)
+    return spark.read.text(path)
+
+
 def fixed_width_lines(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as records."""
     return _lines(spark, d)
@@ -35,20 +42,20 @@ def fixed_width_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def fixed_width_parsed(spark: SparkSession, d: str) -> DataFrame:
     """The records read back: sums by flag."""
-    good, _ = X.parse(_lines(spark, d), LINE, trimmed=True)
+    good, _ = X.parse(_written(spark, _lines(spark, d)), LINE, trimmed=True)
     return good.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("charge").cast("long")).alias("cents"), F.min("day").alias("first_day"))
 
 
 def file_structure(spark: SparkSession, d: str) -> DataFrame:
     """Records by type with one in 50 cut short."""
-    lines = _lines(spark, d)
+    lines = _written(spark, _lines(spark, d))
     order = F.substring("value", 3, 10).cast("long")
     cut = lines.select(F.when(order % 50 == 0, F.substring("value", 1, 30)).otherwise(F.col("value")).alias("value"))
     return X.file_structure(cut, {"20": LINE, "10": HEAD}, {"20": 60000, "10": 1})
 
 
 def field_total(spark: SparkSession, d: str) -> DataFrame:
-    return X.sum_field(_lines(spark, d), LINE, "charge")
+    return X.sum_field(_written(spark, _lines(spark, d)), LINE, "charge")
 
 
 def claim_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +63,7 @@ def claim_labels(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").filter("o_orderkey < 200")
     head = X.render(orders, HEAD, {"type": F.lit("10"), "order": F.col("o_orderkey"), "total": F.col("o_totalprice").cast("decimal(18,2)")})
     body = _lines(spark, d).filter(F.substring("value", 3, 10).cast("long") < 200)
-    lines = head.union(body).withColumn("no", F.concat(F.substring("value", 3, 10), F.substring("value", 1, 2), F.substring("value", 13, 2)))
+    lines = _written(spark, head.union(body)).withColumn("no", F.concat(F.substring("value", 3, 10), F.substring("value", 1, 2), F.substring("value", 13, 2)))
     out = X.labels(lines, {"10": HEAD, "20": LINE}, "no")
     return out.groupBy("claim_no", "record_type", "field").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("least"))
 

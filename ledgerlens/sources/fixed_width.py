@@ -77,40 +77,50 @@ def parse(lines: DataFrame, spec: RecordSpec, value: str = "value", trimmed: boo
     return lines.filter(right).select(*keep, *columns), lines.filter(~right)
 
 
-def render_field(spec: FieldSpec, value: Column) -> Column:
-    """A field's characters: digits for numbers, cents for amounts, eight digits for dates; overlong text is cut, overlong numbers fail."""
+def field_text(spec: FieldSpec, value: Column) -> Column:
+    """A field's characters before padding: digits for numbers, cents for amounts, eight digits for dates."""
     text = F.coalesce(value.cast("string"), F.lit(spec.default))
-    if spec.kind == "numeric":
-        text = F.regexp_replace(text, "[^0-9]", "")
-    elif spec.kind == "decimal_implied":
+    if spec.kind in ("numeric", "date"):
+        return F.regexp_replace(text, "[^0-9]", "")
+    if spec.kind == "decimal_implied":
         amount = F.regexp_replace(text, "[^0-9.-]", "").try_cast("decimal(20,4)")
-        text = F.coalesce(F.regexp_replace((amount * 100).cast("decimal(20,0)").cast("string"), "[^0-9]", ""), F.lit(""))
-    elif spec.kind == "date":
-        text = F.regexp_replace(text, "[^0-9]", "")
-    if spec.required:
-        text = F.when(text == "", F.raise_error(F.lit(f"{spec.name} is required"))).otherwise(text)
-    over = F.length(text) > spec.length
+        return F.coalesce(F.regexp_replace((amount * 100).cast("decimal(20,0)").cast("string"), "[^0-9]", ""), F.lit(""))
+    return text
+
+
+def place_field(spec: FieldSpec, text: Column) -> Column:
+    """A field's text in its width: overlong text is cut, overlong numbers and missing required values fail."""
+    placed = (F.lpad if spec.align == "right" else F.rpad)(F.substring(text, 1, spec.length), spec.length, spec.pad)
     if spec.kind in ("numeric", "decimal_implied"):
-        text = F.when(over, F.raise_error(F.concat(F.lit(f"{spec.name} overflows: "), text))).otherwise(text)
-    else:
-        text = F.substring(text, 1, spec.length)
-    fill = F.lpad if spec.align == "right" else F.rpad
-    return fill(text, spec.length, spec.pad)
+        placed = F.when(F.length(text) > spec.length, F.raise_error(F.concat(F.lit(f"{spec.name} overflows: "), text))).otherwise(placed)
+    if spec.required:
+        placed = F.when(text == "", F.raise_error(F.lit(f"{spec.name} is required"))).otherwise(placed)
+    return placed
+
+
+def render_field(spec: FieldSpec, value: Column) -> Column:
+    return place_field(spec, field_text(spec, value))
 
 
 def render(rows: DataFrame, spec: RecordSpec, values: dict[str, Column], batch: dict[str, Column] | None = None) -> DataFrame:
-    """One line for each row, fields in order of position; batch values come before the row's own."""
+    """One line for each row, fields in order of position; batch values come before the row's own.
+
+    Texts are a projection of their own, so that each is made once though it is tested and placed.
+    """
+    ordered = sorted(spec.fields, key=lambda f: f.start)
+    texts = []
+    for f in ordered:
+        own = values.get(f.source or f.name, F.lit(f.default))
+        texts.append(field_text(f, F.coalesce(batch[f.name], own) if batch and f.name in batch else own).alias(f.name))
     parts, end = [], 0
-    for f in sorted(spec.fields, key=lambda f: f.start):
+    for f in ordered:
         if f.start > end + 1:
             parts.append(F.lit(" " * (f.start - end - 1)))
-        own = values.get(f.source or f.name, F.lit(f.default))
-        value = F.coalesce(batch[f.name], own) if batch and f.name in batch else own
-        parts.append(render_field(f, value))
+        parts.append(place_field(f, F.col(f.name)))
         end = f.start + f.length - 1
     if end < spec.length:
         parts.append(F.lit(" " * (spec.length - end)))
-    return rows.select(F.concat(*parts).alias("value"))
+    return rows.select(*texts).select(F.concat(*parts).alias("value"))
 
 
 def source_value(value: Column, kind: str) -> Column:
