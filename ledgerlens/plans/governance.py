@@ -208,14 +208,14 @@ ORACLES = {
         SELECT p_type, coalesce(sources, 0) AS sources FROM l LEFT JOIN c USING (p_type) WHERE coalesce(sources, 0) < 26""",
     "concentration": """
         WITH c AS (SELECT source, lang, count(*) AS k FROM documents GROUP BY ALL)
-        SELECT source, sum(k) AS n, count(*) AS sources, round(max(k) / sum(k), 6) AS top_share, max(k) / sum(k) > 0.6 AND sum(k) >= 20 AS concentrated FROM c GROUP BY source""",
+        SELECT source, sum(k)::BIGINT AS n, count(*) AS sources, round(max(k) / sum(k), 6) AS top_share, max(k) / sum(k) > 0.6 AND sum(k) >= 20 AS concentrated FROM c GROUP BY source""",
     "population_consensus": """
         WITH g AS (SELECT event_type, count(DISTINCT user_id) AS documents FROM events GROUP BY 1 HAVING count(DISTINCT user_id) >= 3 AND bool_or(value > 20))
         SELECT event_type, documents, count(*) AS n FROM events JOIN g USING (event_type) GROUP BY 1, 2""",
     "split_manifest": f"""
         WITH s AS (SELECT doc_id::VARCHAR AS id, source, {_SPLIT.format(k='source')} AS split, substr(sha256(doc_id::VARCHAR), 1, 2) AS part FROM documents),
         p AS (SELECT split, part, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest FROM s GROUP BY 1, 2),
-        d AS (SELECT split, sum(n) AS n, sha256(string_agg(digest, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1)
+        d AS (SELECT split, sum(n)::BIGINT AS n, sha256(string_agg(digest, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1)
         SELECT split, n, groups, digest FROM d JOIN (SELECT split, count(DISTINCT source) AS groups FROM s GROUP BY 1) USING (split)""",
     "dataset_mark": "SELECT count(*) AS n, sum(('0x' || substr(sha256(concat_ws('|', doc_id, lang, source, text)), 1, 15))::BIGINT)::VARCHAR AS mark FROM documents",
     "replay_differences": """

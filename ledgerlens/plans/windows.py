@@ -142,7 +142,7 @@ ORACLES = {
         SELECT l_returnflag, verdict, count(*) AS n, round(sum(best), 4) AS best FROM v GROUP BY ALL""",
     "role_islands": """
         WITH i AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM conversations)
-        SELECT conv_id, island, count(*) AS turns, sum(length(text)) AS chars FROM i GROUP BY ALL""",
+        SELECT conv_id, island::BIGINT AS island, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM i GROUP BY ALL""",
     "order_runs": """
         WITH d AS (SELECT DISTINCT date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day, o_orderpriority FROM orders),
         g AS (SELECT o_orderpriority, day - row_number() OVER (PARTITION BY o_orderpriority ORDER BY day) AS g FROM d),
