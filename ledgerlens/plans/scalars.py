@@ -144,6 +144,12 @@ ORACLES = {
                false AS contaminated FROM customer""",
     "error_rates": "SELECT p_partkey, round(levenshtein(lower(p_brand), lower(p_type)) / length(p_brand), 6) AS rate FROM part",
     "redacted_events": "SELECT '[REDACTED]' AS member, event_type AS kind, count(*) AS n FROM events GROUP BY event_type",
+    "typed_values": r"""
+        WITH w AS (SELECT trim(regexp_split_to_array(text, '\s+')[1]) AS v FROM documents),
+        k AS (SELECT * FROM (VALUES ('date', '(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})'), ('amount', '\$?-?[0-9,]+(\.\d{2})?'), ('digits', '\d+'), ('code', '[A-Z0-9.]{3,8}'),
+              ('name', '[A-Za-z][A-Za-z ,.''-]+')) k(kind, p)),
+        s AS (SELECT kind, v <> '' AND regexp_full_match(v, p) AS ok, v <> '' AND regexp_matches(v, CASE WHEN kind IN ('date', 'amount', 'digits') THEN '\d' ELSE '[A-Za-z]' END) AS part FROM w, k)
+        SELECT kind, count(*) FILTER (ok) AS valid, round(sum(CASE WHEN ok THEN 1 WHEN part THEN 0.5 ELSE 0 END), 2) AS score FROM s GROUP BY kind""",
     "box_overlaps": f"""
         WITH {_BOX} SELECT l_linenumber, round(sum(ov / (own + 625 - ov)), 4) AS iou, round(sum(ov / own), 4) AS inside, round(sum(area), 4) AS area,
                count(*) FILTER (ov / (own + 625 - ov) >= 0.5) AS n_half FROM o GROUP BY l_linenumber""",
