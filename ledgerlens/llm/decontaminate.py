@@ -5,14 +5,17 @@
    passages and a two-level reduction adds the tasks' sums. Scaled by inverse document frequency, the sketch's right
    singular vectors are the randomised SVD of the TF-IDF matrix; the first ``RANK`` of them are the latent space. A
    vector also keeps ``RANK`` random projections of what lies outside that space, as rare words do.
-   Words are runs of letters and digits in lower case.
+   Words are runs of letters and digits in lower case. Words in a run of ``MIN_WORDS`` words that an item holds count
+   nowhere in the space, so copies of an item don't lower the weight of its words.
 2. Retrieval: windows of ``WINDOW`` words, ``STRIDE`` apart, over whole documents are compared by cosine with those of
-   the benchmark items; benchmark vectors go to the workers in blocks of at most ``ITEM_BLOCK`` items.
-3. Checks: for a candidate window the longest common subsequence of the item's words and the words around the window
+   the benchmark items; benchmark vectors go to the workers in blocks of at most ``ITEM_BLOCK`` items. Besides, every
+   run of ``MIN_WORDS`` words that a document shares with an item makes the place where the item would begin a
+   candidate, whatever the cosine: no verbatim copy is missed.
+3. Checks: for a candidate the longest common subsequence of the item's words and the words around the window
    must hold a share ``lcs`` of the item, and the item's answer (its last ``ANSWER`` words) a share ``answer``; a share
    of ``sure`` is enough alone. Paraphrases that keep most words in order are found so, not just copies.
 
-Only the latent basis and the benchmark, which don't grow with the corpus, reach driver and workers; documents aren't
+Only the latent basis and the benchmark with its runs' hashes, which don't grow with the corpus, reach driver and workers; documents aren't
 shuffled.
 
 Defined results: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words are compared with nothing,
@@ -44,6 +47,10 @@ ITEM_BLOCK = 4096
 #: Partial sums of a sketch row, or of the document frequencies, at the first level of the reduction.
 SALTS = 64
 
+#: Pairs of a document's run and an item's that are handled at once.
+RUN_PAIRS = 1 << 20
+_FILTER_BITS = 22
+
 _KEY = odd_numbers(2, 61)
 
 
@@ -51,8 +58,55 @@ def feature_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def sketch_block(found: Words, seeds: np.ndarray, sketch: np.ndarray, df: np.ndarray) -> int:
-    """Adds a block's passages to the sums; returns how many there were."""
+def run_hashes(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of MIN_WORDS words of one text begin, and a hash of each."""
+    every, owner = hashes_of(found), found.owner
+    n = max(0, len(every) - MIN_WORDS + 1)
+    total = every[:n].copy()
+    for k in range(1, MIN_WORDS):
+        total = total * _KEY[0] + every[k : k + n]
+    at = np.flatnonzero(owner[:n] == owner[len(every) - n :])
+    return at, mix(total[at])
+
+
+class Runs:
+    """Runs of MIN_WORDS words of benchmark items, in order of their hashes, with the item and the place of each."""
+
+    def __init__(self, hashes: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
+        self.some = np.zeros(1 << _FILTER_BITS, bool)
+        self.some[self.hashes >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def find(self, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where runs of a block begin that items hold, and the first and the number of equal ones."""
+        at, hashes = run_hashes(found)
+        maybe = self.some[hashes >> np.uint64(64 - _FILTER_BITS)]
+        at, hashes = at[maybe], hashes[maybe]
+        low = np.searchsorted(self.hashes, hashes, "left")
+        size = np.searchsorted(self.hashes, hashes, "right") - low
+        return at[size > 0], low[size > 0], size[size > 0]
+
+    def held(self, found: Words) -> np.ndarray:
+        """Whether each word of a block is in such a run."""
+        at, _, _ = self.find(found)
+        edge = np.zeros(len(found.starts) + 1, np.int64)
+        edge[at] += 1
+        edge[at + MIN_WORDS] -= 1
+        return np.cumsum(edge[:-1]) > 0
+
+
+def known_runs(benchmark: DataFrame, text_col: str) -> Runs:
+    """The distinct runs of all items."""
+    hashes = np.zeros(0, np.uint64)
+    for block in item_blocks(benchmark, text_col, text_col):
+        found = [run_hashes(f)[1] for f in words(pa.array([r[1] for r in block], pa.string()), apart=SIGNS)]
+        hashes = np.unique(np.concatenate([hashes, *found]))
+    return Runs(hashes, np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64))
+
+
+def sketch_block(found: Words, seeds: np.ndarray, sketch: np.ndarray, df: np.ndarray, held: np.ndarray | None = None) -> int:
+    """Adds a block's passages, without the words ``held``, to the sums; returns how many there were."""
     n = np.diff(found.first)
     passages = -(-n // WINDOW)
     first = np.cumsum(passages) - passages
@@ -62,7 +116,9 @@ def sketch_block(found: Words, seeds: np.ndarray, sketch: np.ndarray, df: np.nda
     text = np.repeat(np.arange(len(n)), passages)
     draw = mix(seeds[text] * _KEY[0] + (np.arange(total) - first[text]).astype(np.uint64) * _KEY[1])
     row, sign = (draw >> np.uint64(57)).astype(np.int64) % SKETCH, np.where(draw & np.uint64(1), 1, -1)
-    feature = feature_of(found.hashes)
+    feature = feature_of(hashes_of(found))
+    if held is not None:
+        passage, feature = passage[~held], feature[~held]
     np.add.at(sketch, row[passage] * FEATURES + feature, sign[passage].astype(np.int32))
     pairs = passage * FEATURES + feature
     pairs = np.sort(pairs.astype(np.int32) if total < 1 << (31 - FEATURE_BITS) else pairs)
@@ -102,16 +158,18 @@ class Space:
         return both / np.maximum(norm, 1e-9), owner, begin
 
 
-def latent_space(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Space:
-    """The space of all passages of ``docs``."""
+def latent_space(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: Runs | None = None) -> Space:
+    """The space of all passages of ``docs``, without the words in ``runs``."""
     bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(runs)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, df, passages = np.zeros(SKETCH * FEATURES, np.int32), np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             seeds = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for found in words(batch.column(0), 1 << 18, SIGNS):
-                passages += sketch_block(found, seeds[found.rows.start : found.rows.stop], sketch, df)
+                held = shared.value and shared.value.held(found)
+                passages += sketch_block(found, seeds[found.rows.start : found.rows.stop], sketch, df, held)
         if passages:
             yield packed({SKETCH: np.r_[df, passages], **{k: sketch[k * FEATURES : (k + 1) * FEATURES] for k in range(SKETCH)}})
 
@@ -152,7 +210,8 @@ def latent_space(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def solve(sketch: np.ndarray, df: np.ndarray, passages: int) -> Space:
     """The latent space of a sketch."""
-    idf = np.log((passages + 1) / (df + 1)).clip(min=0) ** 1.5
+    # Above zero for words in every passage, too: else a corpus of one passage has no vectors.
+    idf = np.log1p((passages + 1) / (df + 1)) ** 1.5
     scaled = sketch * idf
     gram = scaled @ scaled.T
     values, left = np.linalg.eigh(gram)
@@ -168,18 +227,21 @@ def solve(sketch: np.ndarray, df: np.ndarray, passages: int) -> Space:
 
 @dataclass
 class Items:
-    """Benchmark items: ids, words as hashes, and window vectors with the item of each."""
+    """Benchmark items: ids, words as hashes, window vectors with the item of each, and runs of words."""
 
     ids: list
     hashes: list
     vectors: np.ndarray
     item: np.ndarray
+    runs: Runs
 
     @staticmethod
     def of(ids: list, texts: list, space: Space) -> Items:
-        hashes, vectors, owners = [], [], []
+        hashes, vectors, owners, runs = [], [], [], []
         for found in words(pa.array(texts, pa.string()), apart=SIGNS):
-            every = found.hashes
+            every = hashes_of(found)
+            at, run = run_hashes(found)
+            runs.append((run, found.owner[at] + found.rows.start, at - found.first[found.owner[at]]))
             hashes += [every[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
             for shift in range(0, STRIDE, STRIDE // 2):
                 # Windows that begin between strides as well; a short item has one.
@@ -197,7 +259,8 @@ class Items:
         keep = np.array([len(h) >= MIN_WORDS for h in hashes], bool)
         item = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         vector = np.concatenate(vectors) if vectors else np.zeros((0, 2 * RANK), np.float32)
-        return Items(ids, hashes, np.ascontiguousarray(vector[keep[item]].T), item[keep[item]])
+        run = Runs(*(np.concatenate(x) for x in zip(*runs, strict=True))) if runs else Runs(np.zeros(0, np.uint64), item[:0], item[:0])
+        return Items(ids, hashes, np.ascontiguousarray(vector[keep[item]].T), item[keep[item]], run)
 
 
 def masks(item: np.ndarray) -> dict[int, int]:
@@ -228,11 +291,43 @@ def check(item: np.ndarray, text: np.ndarray) -> tuple[float, float]:
     return whole, lcs_bits(masks(answer), len(answer), known).bit_count() / len(answer)
 
 
+def shared_runs(found: Words, items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, where the item would begin, runs there) for texts and items that share runs; most runs first."""
+    at, low, size = items.runs.find(found)
+    longest = max(map(len, items.hashes), default=0)
+    span, owner = len(found.starts) + longest + 1, found.owner
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    part = (np.cumsum(size) - size) // RUN_PAIRS
+    for k in np.unique(part):
+        a, n = at[part == k], size[part == k]
+        pair = np.repeat(low[part == k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        a = np.repeat(a, n)
+        key = (owner[a] * len(items.ids) + items.runs.item[pair]) * span + a - items.runs.place[pair] + longest
+        keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, np.ones(len(key))])).astype(np.int64)
+    order = np.argsort(-counts, kind="stable")
+    both, begin = np.divmod(keys[order], span)
+    yield from zip(*(x.tolist() for x in (*np.divmod(both, len(items.ids)), begin - longest, counts[order])), strict=True)
+
+
 def scan(texts: pa.Array, space: Space, items: Items, cosine: float, lcs: float, answer: float, sure: float) -> Iterator[tuple]:
     """(row, item index, cosine, lcs share, answer share) for each text and item that match; the best window's."""
     for found in words(texts, 1 << 18, SIGNS):
         vectors, owner, begin = space.windows(found)
         best: dict[tuple[int, int], tuple] = {}
+        for row, item, at, runs in shared_runs(found, items):
+            held = best.get((row, item))
+            if held and held[1] >= 1:
+                continue
+            n = len(items.hashes[item])
+            if runs == n - MIN_WORDS + 1:
+                whole, told = 1.0, 1.0
+            else:
+                a, b = max(found.first[row], at - n), min(found.first[row + 1], at + 2 * n)
+                whole, told = check(items.hashes[item], hashes_of(found)[a:b])
+            if (whole >= sure or whole >= lcs and told >= answer) and (held is None or (whole, told) > held[1:]):
+                w = np.searchsorted(owner, row) + max(0, np.searchsorted(begin[owner == row], at, "right") - 1)
+                best[row, item] = (float((vectors[w] @ items.vectors[:, items.item == item]).max()), whole, told)
         for at in range(0, len(vectors), 4096):
             near = vectors[at : at + 4096] @ items.vectors
             for w, v in zip(*np.nonzero(near >= cosine), strict=True):
@@ -266,7 +361,7 @@ def contaminated(
     spark = docs.sparkSession
     bound_batches(spark)
     if space is None:
-        space = latent_space(docs, id_col, text_col)
+        space = latent_space(docs, id_col, text_col, known_runs(benchmark, item_text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
     item_kind = benchmark.schema[item_col].dataType
     shares = "cosine double, lcs_share double, answer_share double"
@@ -300,7 +395,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item; a filter for each block of items."""
     spark = docs.sparkSession
-    space = latent_space(docs, id_col, text_col)
+    space = latent_space(docs, id_col, text_col, known_runs(benchmark, item_text_col))
     lowered = "__lowered"
     kept = docs.withColumn(lowered, F.lower(text_col))
     for block in item_blocks(benchmark, item_text_col, item_text_col):

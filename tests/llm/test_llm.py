@@ -266,6 +266,20 @@ def test_contamination_finds_copies_and_paraphrases(spark) -> None:
     assert decontaminate.contaminated(docs(spark, made).limit(0), benchmark).count() == 0
 
 
+def test_contamination_finds_verbatim_copies_of_hot_items(spark) -> None:
+    r = random.Random(18)
+    words = [f"w{k}" for k in range(3000)]
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(k, some(n)) for k, n in enumerate((6, 7, 9, 15, 16, 33, 59))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    made = [(k, f"{some(r.randrange(20, 90))} {items[k % 7][1].title()}. {some(r.randrange(20, 90))}") for k in range(140)] + [(k, some(80)) for k in range(140, 200)]
+    found = {(x.doc_id, x.item_id): x.lcs_share for x in decontaminate.contaminated(docs(spark, made), benchmark).collect()}
+    assert found == {(k, k % 7): 1.0 for k in range(140)}
+    assert {x.doc_id for x in decontaminate.drop_contaminated(docs(spark, made), benchmark).collect()} == set(range(140, 200))
+    alone = docs(spark, [(1, items[3][1])])
+    assert [(x.item_id, x.lcs_share) for x in decontaminate.contaminated(alone, benchmark).collect()] == [(3, 1.0)]
+
+
 def test_lcs_against_dynamic_programming() -> None:
     r = np.random.default_rng(9)
     for _ in range(200):
