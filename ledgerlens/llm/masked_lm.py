@@ -8,6 +8,11 @@ log-probabilities, a proper distribution over the vocabulary at each place.
 Vocabulary: the most frequent words over all documents, the rest hashed to the ``SPARE`` last ids. Classes are runs of
 64 ids in order of frequency. Counts are combined by map tasks before they are shuffled.
 
+Rarer words share an id's probability by their counts over all documents: in a bucket of T tokens of D words, a word
+of count c takes c / (T + D + 1), a word never counted 1 / (T + D + 1). These counts grow with the corpus; they stay in
+a table, which the rare words of documents are joined with. Logarithms are summed in units of 1 / ``UNIT``, so that
+their order doesn't matter.
+
 Training, in numpy: a share ``TRAIN_SHARE`` of all documents, so more as the corpus grows, is dealt by hash to trainers
 of about ``TRAINER_DOCS`` documents. Each trains from the common parameters, which are then averaged, weighted by
 tokens, in a two-level reduction; ``ROUNDS`` times. Parameters have one size; they are all that reaches the driver.
@@ -19,10 +24,11 @@ each; an empty table gives no rows; further columns are ignored. Reruns agree: d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ledgerlens.llm.arrow import Words, bound_batches, words
 from ledgerlens.session import materialize, table
@@ -36,6 +42,7 @@ TRAIN_SHARE = 1 / 16
 TRAINER_DOCS = 512
 ROUNDS = 2
 SALTS = 16
+UNIT = 1 << 24
 BATCH, RATE = 1024, 0.08
 _COUNTED = 1 << 20
 
@@ -211,15 +218,42 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["model", "tokens"])
 
 
-class Model:
+class Network:
+    """What the workers need: ids of words and parameters."""
+
     def __init__(self, vocabulary: Vocabulary, parameters: bytes) -> None:
         self.vocabulary, self.parameters = vocabulary, unpack(parameters)
 
-    def score(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and summed log-probability of each text of a block."""
-        ids = self.vocabulary.ids(found.hashes)
+    def score(self, found: Words) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+        """Tokens, summed log-probability of the ids, and hashes of the rare words of each text of a block."""
+        hashes = found.hashes
+        ids = self.vocabulary.ids(hashes)
         each = log_probabilities(self.parameters, ids, found.first)
-        return np.diff(found.first), np.bincount(found.owner, each, len(found.rows))
+        rare = ids >= VOCABULARY - SPARE
+        ends = np.r_[0, np.cumsum(rare)][found.first].astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[rare].view(np.int64)))
+        return np.diff(found.first), np.bincount(found.owner, each, len(found.rows)), listed
+
+
+@dataclass
+class Model:
+    """The network, the rare words' shares of their ids (hash, units), and those of words never counted, by bucket."""
+
+    network: Network
+    shares: DataFrame
+    unseen: list[int]
+
+
+def rare_shares(counts: DataFrame, last: Row | None) -> tuple[DataFrame, np.ndarray, list[int]]:
+    """Shares of the words after ``last`` in order of frequency; tokens of each bucket, and the share of a word never counted."""
+    rare = counts.filter((F.col("n") < last.n) | (F.col("n") == last.n) & (F.col("hash") > last.hash)) if last else counts.limit(0)
+    bucket = F.col("hash").bitwiseAND(F.lit(SPARE - 1)).cast("int")
+    tokens, size = np.zeros(SPARE), np.ones(SPARE)
+    for r in rare.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        tokens[r.bucket], size[r.bucket] = r.n, r.n + r.words + 1
+    of = F.array(*[F.lit(float(x)) for x in size])
+    units = F.round(F.log(F.col("n") / of[bucket]) * UNIT).cast("long")
+    return rare.select("hash", units.alias("units")), tokens, [round(float(x) * UNIT) for x in -np.log(size)]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> Model:
@@ -231,7 +265,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     vocabulary = Vocabulary(np.array([r.hash for r in top], np.int64).view(np.uint64))
     n = np.zeros(VOCABULARY)
     n[: len(top)] = [r.n for r in top]
-    n[-SPARE:] = ((counts.agg(F.sum("n")).first()[0] or 0) - n.sum()) / SPARE
+    shares, n[-SPARE:], unseen = rare_shares(counts, top[-1] if top else None)
     packed = pack(start(n))
 
     part = F.xxhash64(F.lit(9), id_col).bitwiseAND((1 << 30) - 1) / float(1 << 30)
@@ -274,22 +308,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
         sums = models.repartition(SALTS, "salt").drop("salt").mapInArrow(_average, kind).repartition(1).mapInArrow(_average, kind).collect()
         if sums:
             packed = (np.frombuffer(sums[0].model, np.float64) / sums[0].tokens).astype(np.float32).tobytes()
-    return Model(vocabulary, packed)
+    return Model(Network(vocabulary, packed), shares, unseen)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, sum_log_prob and perplexity for every row of ``docs``."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [shared.value.score(found) for found in words(batch.column(1))]
             n, total = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64))], ["id", "n_tokens", "sum_log_prob"])
+            rare = pa.concat_arrays([p[2] for p in parts]) if parts else pa.array([], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64)), rare], ["id", "n_tokens", "total", "rare"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, sum_log_prob double")
+    scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, total double, rare array<long>")
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    rare = scored.select("row", F.explode("rare").alias("hash")).join(model.shares, "hash", "left")
+    unseen = F.array(*[F.lit(x) for x in model.unseen])[F.col("hash").bitwiseAND(F.lit(SPARE - 1)).cast("int")]
+    rare = rare.groupBy("row").agg(F.sum(F.coalesce("units", unseen)).alias("units"))
+    total = F.col("total") + F.coalesce("units", F.lit(0)) / UNIT
+    scored = scored.drop("rare").join(rare, "row", "left").select("id", "n_tokens", total.alias("sum_log_prob"))
     perplexity = F.when(F.col("n_tokens") > 0, F.exp(-F.col("sum_log_prob") / F.col("n_tokens")))
     return scored.select(F.col("id").alias(id_col), "n_tokens", "sum_log_prob", perplexity.alias("perplexity"))
 

@@ -401,6 +401,20 @@ def test_lm_is_a_distribution_and_learns(spark) -> None:
     assert (blank["n_tokens"] == 0).all() and (blank["sum_log_prob"] == 0).all() and blank["perplexity"].isna().all()
 
 
+def test_lm_rare_words_share_their_id(spark) -> None:
+    r = random.Random(16)
+    common = [f"c{k}" for k in range(masked_lm.VOCABULARY - masked_lm.SPARE)]
+    rare = [f"r{k}" for k in range(3000)]
+    texts = [" ".join(common), " ".join(common), " ".join(common), *(" ".join(r.choices(common, k=100) + rare[k * 30 : k * 30 + 30]) for k in range(100)), rare[7]]
+    model = masked_lm.fit(docs(spark, texts), share=1.0, rounds=0)
+    odd = docs(spark, [rare[7], rare[8], "gibberish never seen", "c5", " ".join(rare[:50])])
+    found = {x.doc_id: x.sum_log_prob for x in masked_lm.score(odd, model).collect()}
+    # Whatever stands there, probabilities of all known words sum to less than 1; rare and unseen words are the least likely.
+    every = masked_lm.score(docs(spark, [*common, *rare]), model).toPandas()["sum_log_prob"]
+    assert 0.9 < np.exp(every).sum() < 1
+    assert found[0] > found[1] and found[2] / 3 < found[3] - 1 and found[1] < found[3] - 1
+
+
 def test_lm_of_nothing(spark) -> None:
     made = docs(spark, [None, ""])
     assert masked_lm.score(made, masked_lm.fit(made, share=1.0)).count() == 2
