@@ -10,9 +10,11 @@ are parsed whole, in blocks of ``BLOCK`` letters between which a phrase ends. Le
 ``CLASSES`` - 3 most frequent ones of the reference texts are themselves, all others are one letter, and runs of
 anything else are one space.
 
-References: of each language's labelled texts those with the smallest hash of their content, at most ``ref_docs`` of
-them and ``ref_letters`` letters in all; at most ``max_langs`` languages, those with most rows. These bounds are
-parameters; only these texts reach the driver, and every Python worker builds its automata from them.
+References: labelled texts are cut into pieces of ``PIECE`` characters; of the distinct pieces of each language that
+hold a letter those with the smallest hash of their content, at most ``ref_docs`` of them and ``ref_letters`` letters
+in all. So copies, or a head that many texts share, count once, and every language whose texts have letters is kept.
+Tasks choose among their own pieces, and two levels of merging among those. Only the chosen pieces reach the driver,
+and every Python worker builds its automata from them.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without labelled text every document
 is ``und``; equal estimates go to the language first in order; repeated rows are predicted each; further columns are
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ from ledgerlens.llm.arrow import bound_batches
 from ledgerlens.session import table
 
 UNKNOWN = "und"
-REF_DOCS, REF_LETTERS, REF_PREFIX, MAX_LANGS = 200, 60_000, 4000, 64
+REF_DOCS, REF_LETTERS, PIECE = 200, 60_000, 4000
+SALTS = 64
 BLOCK = 512
 CLASSES = 64
 #: Classes besides letters: no letter at all, padding, and letters not among the frequent ones.
@@ -185,19 +189,70 @@ def languages(references: tuple) -> Languages:
     return Languages({name: list(texts) for name, texts in references})
 
 
-def references(rows: DataFrame, lang_col: str, text_col: str, ref_docs: int = REF_DOCS, max_langs: int = MAX_LANGS) -> tuple:
-    """Labelled texts of each language, a bounded number by smallest content hash; (name, texts) in order."""
+class Smallest:
+    """Of each language the distinct pieces with the smallest hashes, as many as its reference may need."""
+
+    def __init__(self, ref_docs: int, ref_letters: int) -> None:
+        self.ref_docs, self.ref_letters = ref_docs, ref_letters
+        self.held: dict[str, dict] = {}
+        self.limit: dict[str, int] = {}
+
+    def add(self, lang: str, key: int, piece: str) -> None:
+        held = self.held.setdefault(lang, {})
+        if key in held or key > self.limit.get(lang, key):
+            return
+        if letters := sum(map(str.isalpha, piece)):
+            held[key] = (letters, piece)
+            if len(held) >= 2 * self.ref_docs:
+                self.trim(lang)
+
+    def trim(self, lang: str) -> None:
+        total, kept = 0, {}
+        for key in sorted(self.held[lang]):
+            if len(kept) == self.ref_docs or total >= self.ref_letters:
+                break
+            kept[key] = self.held[lang][key]
+            total += kept[key][0]
+        if len(kept) == self.ref_docs or total >= self.ref_letters:
+            self.limit[lang] = max(kept)
+        self.held[lang] = kept
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for lang in sorted(self.held):
+            self.trim(lang)
+            if held := self.held[lang]:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held)), pa.array(list(held), pa.int64()), pa.array([x for _, x in held.values()])], ["lang", "key", "piece"])
+
+
+def references(rows: DataFrame, lang_col: str, text_col: str, ref_docs: int = REF_DOCS, ref_letters: int = REF_LETTERS) -> tuple:
+    """Pieces of each language's labelled texts, a bounded number by smallest content hash; (name, pieces) in order."""
+    bound_batches(rows.sparkSession)
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null and text <> ''")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    if not counts:
-        return ()
-    part = F.xxhash64("text").bitwiseAND((1 << 30) - 1) / float(1 << 30)
-    cut = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * ref_docs / n))])
-    chosen = rows.withColumn("part", part).filter(F.col("part") < cut[F.col("lang")]).select("lang", "part", F.substring("text", 1, REF_PREFIX).alias("text"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Smallest(ref_docs, ref_letters)
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                for k in range(0, len(text), PIECE):
+                    piece = text[k : k + PIECE]
+                    found.add(lang, int.from_bytes(blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True), piece)
+        yield from found.out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Smallest(ref_docs, ref_letters)
+        for batch in batches:
+            for lang, key, piece in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found.add(lang, key, piece)
+        yield from found.out()
+
+    kind = "lang string, key long, piece string"
+    parts = rows.mapInArrow(choose, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    parts = parts.repartition("lang", "salt").drop("salt").mapInArrow(merge, kind)
     found: dict[str, list] = {}
-    for row in chosen.distinct().collect():  # copies of a text share its hash
-        found.setdefault(row.lang, []).append((row.part, row.text))
-    return tuple((lang, tuple(dict.fromkeys(x for _, x in sorted(found[lang])[:ref_docs]))) for lang in sorted(found))
+    for row in parts.repartition("lang").mapInArrow(merge, kind).collect():
+        found.setdefault(row.lang, []).append((row.key, row.piece))
+    return tuple((lang, tuple(x for _, x in sorted(found[lang]))) for lang in sorted(found))
 
 
 def identify(docs: DataFrame, refs: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -212,6 +212,19 @@ def test_language_id_odd_texts(spark) -> None:
     assert language_id.references(docs(spark, ODD).withColumn("lang", F.lit(None).cast("string")), "lang", "text") == ()
 
 
+def test_language_id_references_of_copies_and_heads(spark) -> None:
+    head = "the same head of all texts " * 200
+    made = [(k, ["der hund und die katze", "le chien et le chat"][k % 2] + f" {k % 30}", ["de", "fr"][k % 2]) for k in range(20_000)]
+    made += [(k, f"{head[:4000]}{'abcdefghij'[k % 10] * 9} tail", "en") for k in range(50)]
+    rows = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    refs = dict(language_id.references(rows, "lang", "text"))
+    assert {k: len(v) for k, v in refs.items()} == {"de": 15, "fr": 15, "en": 11}
+    assert {x for x in refs["en"] if "tail" in x} == {f"{c * 9} tail" for c in "abcdefghij"}
+    assert refs == dict(language_id.references(rows.repartition(7), "lang", "text"))
+    few = dict(language_id.references(rows, "lang", "text", ref_docs=4))
+    assert few == {k: v[:4] for k, v in refs.items()}
+
+
 # archives
 
 
