@@ -5,10 +5,10 @@ into the longest phrases that occur in that text; a phrase ends at the letter th
 begins there. The phrases needed, times log2 of the reference's length and divided by the document's length, estimate
 its cross-entropy in bits a letter; the language with the lowest estimate wins.
 
-The automaton's transitions are a table, so that one array operation steps all blocks of a batch by a letter. Texts
-are parsed whole, in blocks of ``BLOCK`` letters between which a phrase ends. Letters are folded to lower case; the
-``CLASSES`` - 3 most frequent ones of the reference texts are themselves, all others are one letter, and runs of
-anything else are one space.
+The automaton's transitions are a hash table of (state, letter), so that a few array operations step all blocks of a
+batch by a letter. Texts are parsed whole, in blocks of ``BLOCK`` letters between which a phrase ends. Letters are
+folded to lower case; every letter of any reference text is itself, whatever its script, letters of none are one that
+no language knows, and runs of anything else are one space.
 
 References: labelled texts are cut into pieces of ``PIECE`` characters; of the distinct pieces of each language that
 hold a letter those with the smallest hash of their content, at most ``ref_docs`` of them and ``ref_letters`` letters
@@ -39,11 +39,10 @@ UNKNOWN = "und"
 REF_DOCS, REF_LETTERS, PIECE = 200, 60_000, 4000
 SALTS = 64
 BLOCK = 512
-CLASSES = 64
-#: Classes besides letters: no letter at all, padding, and letters not among the frequent ones.
-SPACE, PAD, OTHER = 0, 1, 2
-_ENDED = 1 << 30
+#: Classes besides letters: no letter at all, and letters that no reference has.
+SPACE, OTHER = 0, 1
 _PIECE = 1 << 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(id_col: Column, remainder: int = 2, parts: int = 4) -> Column:
@@ -57,20 +56,63 @@ def is_letter() -> np.ndarray:
 
 
 def letter_classes(frequent: str) -> np.ndarray:
-    """The class of every code point."""
-    of = np.where(is_letter(), OTHER, SPACE).astype(np.uint8)
-    for k, c in enumerate(frequent):
-        for form in {c, c.upper(), c.title()}:
+    """The class of every code point; a form of several letters is the most frequent one's."""
+    of = np.where(is_letter(), OTHER, SPACE).astype(np.int32)
+    for k, c in reversed(list(enumerate(frequent))):
+        for form in {c.upper(), c.title()}:
             if len(form) == 1:
-                of[ord(form)] = k + 3
+                of[ord(form)] = k + 2
+    for k, c in enumerate(frequent):
+        of[ord(c)] = k + 2
     return of
 
 
-def suffix_automaton(letters: np.ndarray) -> np.ndarray:
-    """Transitions of the suffix automaton of ``letters``, as states x CLASSES: the row offset of the next state.
+class Automaton:
+    """A suffix automaton's transitions: a table with open addressing of (letter, state) with the next state.
 
-    Where a state has no transition the phrase ends: the entry is the first state of the next phrase, plus _ENDED.
+    Where a state has no transition the phrase ends, and the next one begins with that letter in the first state.
     """
+
+    def __init__(self, nexts: list[dict[int, int]], classes: int) -> None:
+        self.bits = np.int64(len(nexts).bit_length())
+        self.start = np.zeros(classes, np.int64)
+        for c, s in nexts[0].items():
+            self.start[c] = s
+        sizes = [len(x) for x in nexts]
+        n = sum(sizes)
+        state = np.repeat(np.arange(len(nexts)), sizes)
+        letter = np.fromiter((c for x in nexts for c in x), np.int64, n)
+        entry = (letter << self.bits | state) << self.bits | np.fromiter((s for x in nexts for s in x.values()), np.int64, n)
+        width = max(4, (3 * n).bit_length())
+        self.shift, self.last = np.uint64(64 - width), (1 << width) - 1
+        self.table = np.full(1 << width, -1, np.int64)
+        at = self.slot(entry >> self.bits)
+        while len(at):
+            free = self.table[at] < 0
+            self.table[at[free]] = entry[free]
+            placed = self.table[at] == entry
+            at, entry = (at[~placed] + 1) & self.last, entry[~placed]
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each, and whether a phrase ended."""
+        key = letter << self.bits | state
+        at = self.slot(key)
+        entry = self.table.take(at)
+        lost = np.flatnonzero((entry >> self.bits != key) & (entry >= 0))
+        while len(lost):
+            at[lost] = (at[lost] + 1) & self.last
+            found = self.table.take(at[lost])
+            entry[lost] = found
+            lost = lost[(found >> self.bits != key[lost]) & (found >= 0)]
+        ended = entry < 0
+        return np.where(ended, self.start.take(letter), entry & ((1 << self.bits) - 1)), ended
+
+
+def suffix_automaton(letters: np.ndarray, classes: int) -> Automaton:
+    """The suffix automaton of ``letters``."""
     nexts, link, length, last = [{}], [-1], [0], 0
     for c in letters.tolist():
         new = len(nexts)
@@ -95,15 +137,7 @@ def suffix_automaton(letters: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    start = np.zeros(CLASSES, np.int32)
-    for c, s in nexts[0].items():
-        start[c] = s * CLASSES
-    moves = np.tile(start | _ENDED, (len(nexts), 1))
-    sizes = [len(x) for x in nexts]
-    at = np.repeat(np.arange(len(nexts)), sizes)
-    moves[at, np.fromiter((c for x in nexts for c in x), np.int64, len(at))] = np.fromiter((s for x in nexts for s in x.values()), np.int64, len(at)) * CLASSES
-    moves[:, PAD] = np.arange(len(nexts)) * CLASSES
-    return moves.ravel()
+    return Automaton(nexts, classes)
 
 
 def to_classes(texts: list[str], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +161,13 @@ class Languages:
         for texts in references.values():
             for text in texts:
                 seen.update(c for c in text.lower() if c.isalpha())
-        frequent = sorted(seen, key=lambda c: (-seen[c], c))[: CLASSES - 3]
+        frequent = sorted(seen, key=lambda c: (-seen[c], c))
         self.of = letter_classes("".join(frequent))
         self.moves, self.bits = [], []
         for name in self.names:
             letters, _ = to_classes([f"{x}\n" for x in references[name]], self.of)
             letters = letters[:ref_letters]
-            self.moves.append(suffix_automaton(letters))
+            self.moves.append(suffix_automaton(letters, len(frequent) + 2))
             self.bits.append(np.log2(max(2, len(letters))))
 
     def estimates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,18 +189,17 @@ class Languages:
             steps = int(size[0])
             # The blocks that still have a letter at each step come first.
             active = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
-            letters = np.full((steps, len(owner)), PAD, np.uint8)
+            letters = np.zeros((steps, len(owner)), np.int64)
             for k in range(steps):
                 n = active[k]
                 letters[k, :n] = found[begin[:n] + k]
             for lang, moves in enumerate(self.moves):
-                at = np.zeros(len(owner), np.int32)
+                at = np.zeros(len(owner), np.int64)
                 phrases = np.ones(len(owner), np.int64)
                 for k in range(steps):
                     n = active[k]
-                    step = moves.take(at[:n] + letters[k, :n])
-                    phrases[:n] += step >> 30
-                    at[:n] = step & (_ENDED - 1)
+                    at[:n], ended = moves.step(at[:n], letters[k, :n])
+                    phrases[:n] += ended
                 needed[lang] = np.bincount(owner, phrases, len(texts))
         return needed.T * np.array(self.bits) / np.maximum(length, 1)[:, None], lettered
 

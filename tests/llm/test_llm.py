@@ -212,6 +212,21 @@ def test_language_id_odd_texts(spark) -> None:
     assert language_id.references(docs(spark, ODD).withColumn("lang", F.lit(None).cast("string")), "lang", "text") == ()
 
 
+def test_language_id_of_many_scripts_and_languages(spark) -> None:
+    r = random.Random(31)
+    spans = [(0x61, 26), (0x430, 32), (0x3B1, 25), (0x5D0, 27), (0x628, 24), (0x905, 50)]
+    # Languages that share a script have different words of the same letters; two have thousands of letters of their own.
+    made = {f"l{k:02}": ["".join(chr(a + r.randrange(n)) for _ in range(4)) for _ in range(40)] for k in range(68) for a, n in [spans[k % 6]]}
+    made |= {f"han{k}": ["".join(chr(0x4E00 + 2 * r.randrange(1500) + k) for _ in range(2)) for _ in range(1500)] for k in range(2)}
+    some = lambda lang, n: " ".join(r.choices(made[lang], k=n))
+    rows = spark.createDataFrame([(lang, some(lang, 400)) for lang in made for _ in range(6)], "lang string, text string")
+    refs = language_id.references(rows, "lang", "text")
+    assert {name for name, _ in refs} == set(made)
+    names = sorted(made)
+    found = language_id.identify(docs(spark, [some(lang, 60) for lang in names]), refs).collect()
+    assert [x.lang_pred for x in sorted(found, key=lambda x: x.doc_id)] == names
+
+
 def test_language_id_references_of_copies_and_heads(spark) -> None:
     head = "the same head of all texts " * 200
     made = [(k, ["der hund und die katze", "le chien et le chat"][k % 2] + f" {k % 30}", ["de", "fr"][k % 2]) for k in range(20_000)]
