@@ -13,9 +13,9 @@ of count c takes c / (T + D + 1), a word never counted 1 / (T + D + 1). These co
 a table, which the rare words of documents are joined with. Logarithms are summed in units of 1 / ``UNIT``, so that
 their order doesn't matter.
 
-Training, in numpy: a share ``TRAIN_SHARE`` of all documents, so more as the corpus grows, is dealt by hash to trainers
-of about ``TRAINER_DOCS`` documents. Each trains from the common parameters, which are then averaged, weighted by
-tokens, in a two-level reduction; ``ROUNDS`` times. Parameters have one size; they are all that reaches the driver.
+Training, in numpy: all documents (``share`` of them, if a caller asks for less) are dealt by hash to trainers of about
+``TRAINER_DOCS`` documents. Each trains from the common parameters, which are then averaged, weighted by tokens, in a
+two-level reduction; ``ROUNDS`` times. Parameters have one size; they are all that reaches the driver.
 
 Defined results: null, empty and blank texts have no tokens, sum 0 and a null perplexity; repeated rows are scored
 each; an empty table gives no rows; further columns are ignored. Reruns agree: dealing, order and start are hashes.
@@ -38,8 +38,9 @@ VOCABULARY = CLASS * CLASS
 SPARE = 64
 PAD = VOCABULARY
 WIDTH, SPAN = 32, 3
-TRAIN_SHARE = 1 / 16
+TRAIN_SHARE = 1.0
 TRAINER_DOCS = 512
+TASK_TRAINERS = 4
 ROUNDS = 2
 SALTS = 16
 UNIT = 1 << 24
@@ -190,20 +191,27 @@ def train(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, seed: in
         off[rows, member] -= 1
         g["to_member"] = inner.T @ off
         down = off @ p["to_member"].T
-        g["of_class"], g["member_bias"] = np.zeros_like(p["of_class"]), np.zeros_like(p["member_bias"])
-        np.add.at(g["of_class"], group, down)
-        np.add.at(g["member_bias"], group, off)
+        mine = np.zeros((CLASS, len(take)), np.float32)
+        mine[group, rows] = 1
+        g["of_class"], g["member_bias"] = mine @ down, mine @ off
         back = (back + down) * (1 - hidden**2)
         g["shift"] = back.sum(axis=0)
         g["place"] = np.stack([(v * back).sum(axis=0) for v in vectors])
-        g["word"] = np.zeros_like(p["word"])
-        for o, x in enumerate(near):
-            np.add.at(g["word"], x, back * p["place"][o])
-        g["word"][PAD] = 0
+        # Only words that are near have a gradient; the others stay as they are.
+        every = np.concatenate(near)
+        by_word = np.argsort(every, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(every[by_word]) > 0])
+        used = every[by_word[begin]]
+        g["word"] = np.add.reduceat(np.concatenate([back * p["place"][o] for o, _ in _offsets()])[by_word], begin)
+        g["word"][used == PAD] = 0
         for name, grad in g.items():
             grad /= len(take)
+            if name == "word":
+                seen[name][used] += grad * grad
+                p[name][used] -= RATE * grad / np.sqrt(seen[name][used])
+                continue
             seen[name] += grad * grad
-            p[name] -= (RATE if name in ("word", "place", "to_class", "to_member", "of_class", "shift") else RATE / 4) * grad / np.sqrt(seen[name])
+            p[name] -= (RATE if name in ("place", "to_class", "to_member", "of_class", "shift") else RATE / 4) * grad / np.sqrt(seen[name])
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +265,7 @@ def rare_shares(counts: DataFrame, last: Row | None) -> tuple[DataFrame, np.ndar
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> Model:
-    """The network trained on a share of ``docs``."""
+    """The network trained on ``docs``, or a share of them."""
     spark = docs.sparkSession
     bound_batches(spark)
     counts = materialize(word_counts(docs, text_col), "lm-words")
@@ -273,13 +281,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     trainers = max(1, round(docs.count() * share / TRAINER_DOCS))
     key = F.xxhash64(F.lit(10), id_col, text_col)
     dealt = chosen.select(F.pmod(key, F.lit(trainers)).alias("trainer"), key.alias("key"), F.col(text_col).alias("text"))
-    dealt = materialize(dealt, "lm-sample").repartition(trainers, "trainer").sortWithinPartitions("trainer", "key")
+    if share < 1:
+        dealt = materialize(dealt, "lm-sample")
+    # Several trainers to a task, which adds up their parameters.
+    dealt = dealt.repartition(-(-trainers // TASK_TRAINERS), "trainer").sortWithinPartitions("trainer", "key")
 
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, packed))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             own, current = shared.value
+            yield from _average(trained(batches, own, current, turn))
+
+        def trained(batches: Iterator[pa.RecordBatch], own: Vocabulary, current: bytes, turn: int) -> Iterator[pa.RecordBatch]:
+            """Each trainer's parameters, weighted by its tokens."""
 
             def done(key: int, ids: list, sizes: list) -> pa.RecordBatch:
                 p = unpack(current)

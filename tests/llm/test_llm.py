@@ -443,6 +443,19 @@ def test_lm_rare_words_share_their_id(spark) -> None:
     assert found[0] > found[1] and found[2] / 3 < found[3] - 1 and found[1] < found[3] - 1
 
 
+def test_lm_learns_from_every_document(spark) -> None:
+    r = random.Random(17)
+    texts = [" ".join(r.choices("abcdefgh", k=40)) for _ in range(20)]
+    made = docs(spark, texts)
+    of = lambda *a, **b: masked_lm.fit(*a, **b).network.parameters["word"]
+    whole = of(made)
+    assert np.array_equal(whole, of(made, share=1.0))
+    # The same words and counts in another order in one document: the network is another one.
+    for k in (0, 7, 19):
+        turned = " ".join(sorted(texts[k].split()))
+        assert not np.allclose(whole, of(docs(spark, [turned if j == k else t for j, t in enumerate(texts)])), atol=1e-6)
+
+
 def test_lm_of_nothing(spark) -> None:
     made = docs(spark, [None, ""])
     assert masked_lm.score(made, masked_lm.fit(made, share=1.0)).count() == 2
