@@ -415,15 +415,14 @@ def test_isotonic_rises() -> None:
 def test_lm_is_a_distribution_and_learns(spark) -> None:
     p = masked_lm.start(np.arange(masked_lm.VOCABULARY, dtype=float))
     ids = np.array([5, 9, 700, 9], np.int32)
-    total = 0.0
-    for k in range(masked_lm.VOCABULARY):
-        total += np.exp(masked_lm.log_probabilities(p, np.array([5, k, 700, 9], np.int32), np.array([0, 4]))[1])
-    assert total == pytest.approx(1, abs=1e-3)
+    every = np.tile(ids, masked_lm.VOCABULARY)
+    every[1::4] = np.arange(masked_lm.VOCABULARY)
+    assert np.exp(masked_lm.log_probabilities(p, every, np.arange(masked_lm.VOCABULARY + 1) * 4)[1::4]).sum() == pytest.approx(1, abs=1e-3)
     assert masked_lm.log_probabilities(p, np.r_[ids, ids], np.array([0, 4, 8]))[:4] == pytest.approx(masked_lm.log_probabilities(p, ids, np.array([0, 4])))
     r = random.Random(15)
     texts = [" ".join(f"{a} {a}x {a}y" for a in r.choices("abcdefgh", k=60)) for _ in range(300)]
     made = docs(spark, [*texts, None, "", "  "])
-    plain, learned = (masked_lm.score(made, masked_lm.fit(made, share=1.0, rounds=n)).toPandas() for n in (0, 3))
+    plain, learned = (masked_lm.score(made, masked_lm.fit(made, targets=1.0, rounds=n)).toPandas() for n in (0, 3))
     assert learned["sum_log_prob"].sum() > 0.8 * plain["sum_log_prob"].sum()
     blank = learned[learned["doc_id"] >= 300]
     assert (blank["n_tokens"] == 0).all() and (blank["sum_log_prob"] == 0).all() and blank["perplexity"].isna().all()
@@ -434,7 +433,7 @@ def test_lm_rare_words_share_their_id(spark) -> None:
     common = [f"c{k}" for k in range(masked_lm.VOCABULARY - masked_lm.SPARE)]
     rare = [f"r{k}" for k in range(3000)]
     texts = [" ".join(common), " ".join(common), " ".join(common), *(" ".join(r.choices(common, k=100) + rare[k * 30 : k * 30 + 30]) for k in range(100)), rare[7]]
-    model = masked_lm.fit(docs(spark, texts), share=1.0, rounds=0)
+    model = masked_lm.fit(docs(spark, texts), rounds=0)
     odd = docs(spark, [rare[7], rare[8], "gibberish never seen", "c5", " ".join(rare[:50])])
     found = {x.doc_id: x.sum_log_prob for x in masked_lm.score(odd, model).collect()}
     # Whatever stands there, probabilities of all known words sum to less than 1; rare and unseen words are the least likely.
@@ -447,18 +446,71 @@ def test_lm_learns_from_every_document(spark) -> None:
     r = random.Random(17)
     texts = [" ".join(r.choices("abcdefgh", k=40)) for _ in range(20)]
     made = docs(spark, texts)
-    of = lambda *a, **b: masked_lm.fit(*a, **b).network.parameters["word"]
+    of = lambda d: masked_lm.unpack(masked_lm.fit(d, targets=1.0).parameters)["word"]
     whole = of(made)
-    assert np.array_equal(whole, of(made, share=1.0))
+    assert np.array_equal(whole, of(made.repartition(7, "text")))
     # The same words and counts in another order in one document: the network is another one.
     for k in (0, 7, 19):
         turned = " ".join(sorted(texts[k].split()))
         assert not np.allclose(whole, of(docs(spark, [turned if j == k else t for j, t in enumerate(texts)])), atol=1e-6)
 
 
+def test_lm_against_brute_force() -> None:
+    r = np.random.default_rng(18)
+    p = {k: x.astype(np.float64) + r.normal(size=x.shape) * 0.2 for k, x in masked_lm.unpack(masked_lm.pack(masked_lm.start(np.arange(masked_lm.VOCABULARY, dtype=float)))).items()}
+    p["word"][masked_lm.PAD] = 0
+    texts = [r.integers(0, masked_lm.VOCABULARY, n) for n in (7, 0, 1, 12)]
+    ids, first = np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])]
+
+    def plain(text: np.ndarray, k: int) -> float:
+        total = p["shift"].copy()
+        for o, d in enumerate((-3, -2, -1, 1, 2, 3)):
+            if 0 <= k + d < len(text):
+                total += p["word"][text[k + d]] * p["place"][o]
+        hidden, (group, member) = np.tanh(total), divmod(int(text[k]), masked_lm.CLASS)
+        first, second = hidden @ p["to_class"] + p["class_bias"], (hidden + p["of_class"][group]) @ p["to_member"] + p["member_bias"][group]
+        return first[group] - np.log(np.exp(first).sum()) + second[member] - np.log(np.exp(second).sum())
+
+    assert masked_lm.log_probabilities(p, ids, first) == pytest.approx([plain(t, k) for t in texts for k in range(len(t))], abs=1e-6)
+    # Gradients against differences of the sums.
+    line, at = masked_lm.padded(ids, first)
+    found, used = masked_lm.gradients(p, line, at)
+    loss = lambda: -masked_lm.log_probabilities(p, ids, first).sum()
+    for name in masked_lm.SHAPES:
+        flat = p[name].reshape(len(p[name]), -1)
+        for row in r.integers(0, len(used) if name == "word" else len(flat), 4):
+            k, c = (used[row] if name == "word" else row), r.integers(0, flat.shape[1])
+            if name == "word" and k == masked_lm.PAD:
+                continue
+            was, sides = flat[k, c], []
+            for step in (1e-5, -1e-5):
+                flat[k, c] = was + step
+                sides.append(loss())
+            flat[k, c] = was
+            assert found[name].reshape(len(found[name]), -1)[row, c] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-4), name
+
+
+def test_lm_long_and_repeated_texts(spark, monkeypatch) -> None:
+    monkeypatch.setattr(masked_lm, "CHUNK", 64)
+    r = random.Random(19)
+    long = " ".join(r.choices("abcdefgh", k=500))
+    found = masked_lm.fit_and_score(docs(spark, [(1, long), (1, long), (2, long + " a"), (None, "a b"), (3, "")])).toPandas()
+    assert sorted(found["n_tokens"]) == [0, 2, 500, 500, 501]
+    one, two = found[found["n_tokens"] == 500]["sum_log_prob"]
+    assert one == pytest.approx(two, abs=1e-3) and np.isfinite(found["sum_log_prob"]).all()
+
+
+def test_lm_words_beyond_the_broadcast_are_joined(spark, monkeypatch) -> None:
+    r = random.Random(20)
+    texts = [" ".join([*(f"c{k}" for k in range(4000)), *(f"r{k}" for k in range(900))]), *(" ".join(f"r{r.randrange(900)}" for _ in range(30)) for _ in range(60))]
+    every = masked_lm.fit_and_score(docs(spark, texts), rounds=0).toPandas().sort_values("doc_id")["sum_log_prob"].to_numpy()
+    monkeypatch.setattr(masked_lm, "KNOWN", 300)
+    assert masked_lm.fit_and_score(docs(spark, texts), rounds=0).toPandas().sort_values("doc_id")["sum_log_prob"].to_numpy() == pytest.approx(every, abs=1e-6)
+
+
 def test_lm_of_nothing(spark) -> None:
     made = docs(spark, [None, ""])
-    assert masked_lm.score(made, masked_lm.fit(made, share=1.0)).count() == 2
+    assert masked_lm.score(made, masked_lm.fit(made)).count() == 2
     assert masked_lm.score(made.limit(0), masked_lm.fit(made.limit(0))).count() == 0
 
 
