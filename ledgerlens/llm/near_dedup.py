@@ -8,6 +8,9 @@
    center, as many as it has members. Texts of buckets that aren't in one component then are joined on their rarest
    shingles (prefix filtering, which is exact): first one text of each component, then all pairs that are still between
    different components. So no link is lost to bucket size, and pairs within a component aren't spelled out.
+   Texts of different components that share rare shingles are compared one by one, by their minima first: a family of
+   n texts made of the same passages, just under the similarity, costs n * n such comparisons, in blocks of a shingle's
+   texts. Keys of very many rows are joined by broadcast (``skew``) or in blocks, so that none is a task of its own.
 4. Candidates whose sizes or minima can't reach the similarity are dropped (the estimate must be ``slack`` below it to
    drop a pair, five standard deviations); the others are confirmed on full sets, recomputed from whole texts.
 5. Confirmed links are joined to components by alternating large-star and small-star.
@@ -30,14 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ledgerlens.llm.arrow import bound_batches, mix, odd_numbers, words
 from ledgerlens.llm.graph import components
+from ledgerlens.llm.skew import join_facts
 from ledgerlens.session import materialize, table
 
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 36, 5
 SMALL = 8
-#: Ids of candidate texts are broadcast up to this number (16 MB).
-BROADCAST_IDS = 2_000_000
+#: Ids of candidate texts are broadcast up to this many bytes.
+BROADCAST_BYTES = 32 << 20
+#: Texts with one shingle that one task compares with all others of the shingle.
+PAIR_BLOCK = 1024
 SLACK = 0.16
 
 _PLACES = odd_numbers(64, 41)
@@ -132,8 +138,9 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int, slack: float) ->
 
 
 def candidate_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and text of the rows of ``docs`` that ``ids`` names; the ids are broadcast only if few enough."""
-    if ids.count() <= BROADCAST_IDS:
+    """id and text of the rows of ``docs`` that ``ids`` names; the ids are broadcast only if small enough."""
+    size = F.octet_length(F.col("id").cast("string")) if ids.schema["id"].dataType.simpleString() in ("string", "binary") else F.lit(0)
+    if (ids.agg(F.sum(size + 16)).first()[0] or 0) <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return materialize(texts.join(ids, "id", "left_semi"), "near-texts")
@@ -157,13 +164,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
 
 def still_open(entries: DataFrame) -> DataFrame:
-    """The entries (key, id, component) of buckets with more than one component."""
-    split = entries.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("key")
-    return materialize(entries.join(split, "key", "left_semi"), "near-open")
+    """The entries (key, id, members, component) of buckets with more than one component."""
+    entries = materialize(entries, "near-many")
+    split = entries.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.max("members").alias("members"))
+    split = materialize(split.filter("first <> last").select("key", "members"), "near-split")
+    return materialize(join_facts(entries.drop("members"), split, ["key"]), "near-open")
 
 
 def prefixes(entries: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """shingle, id and component: of each open text its rarest shingles, so many that similar texts share one of them.
+    """shingle, texts, id, component, n and place: of each open text its rarest shingles, so many that similar texts share one of them.
 
     Texts of n and m shingles need percent / (100 + percent) of n + m in common; m is at least percent of n and at least
     the smallest size in the buckets. If fewer than that many of a text's shingles come after its prefix, in one order
@@ -179,33 +188,37 @@ def prefixes(entries: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: in
             every = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(every)], ["id", "shingle"])
 
-    sized = entries.join(nodes.select("id", "n"), "id")
-    least = sized.groupBy("key").agg(F.min("n").alias("least"))
-    facts = sized.join(least, "key").groupBy("id").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.first("component").alias("component"))
+    sized = materialize(entries.join(nodes.select("id", "n"), "id"), "near-sized")
+    least = materialize(sized.groupBy("key").agg(F.min("n").alias("least"), F.max("members").alias("members")), "near-least")
+    facts = join_facts(sized.drop("members"), least, ["key"]).groupBy("id").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.first("component").alias("component"))
     smallest = F.greatest(F.ceil(F.col("n") * percent / 100.0), F.col("least"))
     common = F.ceil((F.col("n") + smallest) * percent / F.lit(100.0 + percent))
     facts = facts.select("id", "component", "n", (F.col("n") - common + 1).alias("prefix"))
     spelled = materialize(texts.join(facts.select("id"), "id", "left_semi").select("id", "text").mapInArrow(spell, f"id {kind}, shingle long"), "near-spelled")
-    counted = spelled.join(spelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")), "shingle")
+    texts_of = materialize(spelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")), "near-shingles")
+    counted = join_facts(spelled, texts_of, ["shingle"], "texts")
     place = F.row_number().over(W.partitionBy("id").orderBy("texts", "shingle"))
-    return counted.withColumn("place", place).join(facts, "id").filter("place <= prefix and texts > 1").select("shingle", "id", "component", "n", "place")
+    return counted.withColumn("place", place).join(facts, "id").filter("place <= prefix and texts > 1").select("shingle", "texts", "id", "component", "n", "place")
 
 
 def prefix_pairs(rare: DataFrame, percent: int) -> DataFrame:
     """x and id of different components that share a shingle in the prefixes which their two sizes call for.
 
-    What precedes the shared shingle, and what follows it, can hold no more in common than the shorter part has.
+    What precedes the shared shingle, and what follows it, can hold no more in common than the shorter part has. The
+    texts of a frequent shingle are dealt to blocks, each of which meets all of them.
     """
-    left = rare.withColumnsRenamed({"id": "x", "component": "cx", "n": "nx", "place": "px"})
+    blocks = F.ceil(F.col("texts") / PAIR_BLOCK)
+    left = rare.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumnsRenamed({"id": "x", "component": "cx", "n": "nx", "place": "px"}).drop("texts")
+    rare = rare.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     common = F.ceil((F.col("nx") + F.col("n")) * percent / F.lit(100.0 + percent))
     most = F.least("px", "place") + F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place"))
     near = (F.col("px") <= F.col("nx") - common + 1) & (F.col("place") <= F.col("n") - common + 1) & (most >= common)
-    return left.join(rare, (left.shingle == rare.shingle) & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("component")) & near).select("x", "id")
+    return left.join(rare, (left.shingle == rare.shingle) & (left.block == rare.block) & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("component")) & near).select("x", "id")
 
 
 def closest_of_each(rare: DataFrame) -> DataFrame:
     """Of each shingle and component the text with the fewest rarer shingles: one stands for all to join components by."""
-    return rare.groupBy("shingle", "component").agg(F.min(F.struct("place", "id", "n")).alias("r")).select("shingle", "component", "r.id", "r.n", "r.place")
+    return rare.groupBy("shingle", "component").agg(F.min(F.struct("place", "id", "n", "texts")).alias("r")).select("shingle", "r.texts", "component", "r.id", "r.n", "r.place")
 
 
 def near_duplicates(
@@ -215,14 +228,14 @@ def near_duplicates(
     """id_col, n_shingles, component_id and kept for every row of ``docs``."""
     bound_batches(docs.sparkSession)
     signed = materialize(signatures(docs, id_col, text_col, shingle, bands, rows), "near-signed")
-    classes = materialize(signed.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "near-classes")
+    classes = materialize(signed.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")), "near-classes")
     match = ["n", "d1", "d2"]
-    reps = classes.filter("rep is not null").withColumnRenamed("rep", "id")
+    reps = classes.filter("rep is not null").withColumnRenamed("rep", "id").drop("members")
     nodes = materialize(signed.join(reps, [*match, "id"], "left_semi").dropDuplicates(["id"]), "near-nodes")
 
     entries = nodes.select("id", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("center")).filter("members > 1")
-    shared = materialize(entries.join(buckets, "key"), "near-entries")
+    buckets = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("center")).filter("members > 1"), "near-buckets")
+    shared = materialize(join_facts(entries, buckets, ["key"]), "near-entries")
     texts = candidate_texts(docs, materialize(shared.select("id").distinct(), "near-ids"), id_col, text_col)
 
     def pairs_of(frame: DataFrame, a: str, b: str) -> DataFrame:
@@ -234,7 +247,7 @@ def near_duplicates(
 
     few = shared.filter(F.col("members") <= small).groupBy("key").agg(F.collect_list("id").alias("ids"))
     few = few.select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).filter("x < y")
-    many = shared.filter(F.col("members") > small).select("key", "id", "center")
+    many = shared.filter(F.col("members") > small).select("key", "id", "center", "members")
     found = links(pairs_of(few, "x", "y").union(pairs_of(many, "id", "center")))
     grouped = components(found)
 
@@ -242,7 +255,7 @@ def near_duplicates(
         named = rows.join(grouped, F.col("id") == grouped.vertex, "left")
         return named.withColumn("component", F.coalesce("component", "id")).drop("vertex")
 
-    apart = still_open(component_of(many.select("key", "id")))
+    apart = still_open(component_of(many.select("key", "id", "members")))
     if not apart.isEmpty():
         # First one text for each shingle and component, which joins large components that are one; then all that is left.
         rare = materialize(prefixes(apart, texts, nodes, shingle, percent), "near-prefixes")
@@ -251,13 +264,13 @@ def near_duplicates(
             grouped = components(found)
             rare = component_of(rare.drop("component")).select(*rare.columns)
 
-    of_class = classes.join(grouped, classes.rep == grouped.vertex, "left").select(*match, F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.join(grouped, classes.rep == grouped.vertex, "left").select(*match, "members", F.coalesce("component", "rep").alias("component_id"))
     rows_of = signed.select("id", *match)
-    with_set = rows_of.join(of_class, match, "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return with_set.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+    with_set = join_facts(rows_of.filter("n > 0"), materialize(of_class, "near-components"), match).select("id", "n", "component_id")
+    every = with_set.unionByName(rows_of.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return every.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
 
 
