@@ -3,15 +3,17 @@
 A text is normalised and cut into pre-tokens as the tokenizer does it; its count is the sum of its pre-tokens'
 lengths in tokens. Tier one is a broadcast table of the lengths of frequent pre-tokens, at most ``frequent`` of
 them. Tier two is a cache in each Python worker: a miss is encoded once by the tokenizer's own model and kept until
-the cache holds ``cache_size`` entries, when it is emptied. No pre-token is shuffled, and the table only saves
-time: counts don't depend on it, so it is taken from a bounded sample of about ``sample_docs`` texts.
+the cache holds ``cache_size`` entries, when it is emptied. No pre-token of the documents is shuffled, and the table
+only saves time: counts don't depend on it, so it is taken from one text in ``every``, by a hash of the row. Tasks
+count their pre-tokens in summaries of at most ``SUMMARY`` entries (halved when full, rarest first), which one
+aggregation adds up; the ``frequent`` most frequent reach the driver.
 
 The split is that of the normaliser (NFC, white space, lower case) and pre-tokenizer of ``word_bpe_49k.json``; a
 tokenizer that declares another one, and a text with letters newer than its Unicode tables, go through its library
 as a whole. Special strings inside texts are
 single tokens, as is the library's default; no begin or end tokens are added.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; an empty table
+Defined results: null and empty texts have 0 bytes and 0 tokens; very long texts are counted whole; repeated rows are counted each; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -31,11 +33,11 @@ from ledgerlens.llm.arrow import bound_batches
 from ledgerlens.session import table
 
 LIMIT = 2048
-SAMPLE_DOCS = 2000
+EVERY = 64
 FREQUENT = 20_000
 CACHE_SIZE = 500_000
-#: Of each partition's sample, so many pre-tokens at most reach the driver.
-PER_PARTITION = 1024
+#: Pre-tokens in a task's summary.
+SUMMARY = 1 << 16
 
 #: The declaration for which the split below is right.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -128,9 +130,8 @@ def counter(path: str, packed: bytes) -> PreTokenCounter:
     return PreTokenCounter(path, {x[1:]: ord(x[0]) for x in lines})
 
 
-def frequent_table(docs: DataFrame, id_col: str, text_col: str, path: str, sample_docs: int, frequent: int) -> bytes:
-    """The packed table: the most frequent pre-tokens of the sample with their lengths."""
-    every = max(1, docs.count() // sample_docs)
+def frequent_table(docs: DataFrame, id_col: str, text_col: str, path: str, every: int, frequent: int) -> bytes:
+    """The packed table: the most frequent pre-tokens of the sample with their lengths; one job, however many partitions."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = counter(path, b""), Counter()
@@ -138,26 +139,26 @@ def frequent_table(docs: DataFrame, id_col: str, text_col: str, path: str, sampl
             for text in batch.column(0).to_pylist():
                 for piece in own.pieces(text):
                     seen.update(own.pre_tokens(piece))
-        top = seen.most_common(PER_PARTITION)
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in top]), pa.array([x[1] for x in top], pa.int64())], ["word", "n"])
+                if len(seen) > SUMMARY:
+                    seen = Counter(dict(seen.most_common(SUMMARY // 2)))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys())), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     text = F.col(text_col)
-    chosen = docs.select(text.alias("text")).filter(text.isNotNull() & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0))
-    total: Counter = Counter()
-    for row in chosen.mapInArrow(tally, "word string, n long").toLocalIterator():
-        total[row.word] += row.n
+    chosen = docs.select(text.alias("text")).filter(text.isNotNull() & (F.pmod(F.xxhash64(F.col(id_col), text), F.lit(every)) == 0))
+    counts = chosen.mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     own = counter(path, b"")
-    return "\n".join(chr(n) + word for word, _ in total.most_common(frequent) if 0 < (n := own.length(word)) < 10).encode()
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
+    return "\n".join(chr(n) + r.word for r in top if 0 < (n := own.length(r.word)) < 10).encode()
 
 
 def count_tokens(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, sample_docs: int = SAMPLE_DOCS, frequent: int = FREQUENT
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, every: int = EVERY, frequent: int = FREQUENT
 ) -> DataFrame:
     """id_col, n_bytes, n_tokens and over_limit for every row of ``docs``; ``path`` is the tokenizer's file."""
     spark = docs.sparkSession
     bound_batches(spark)
-    packed = spark.sparkContext.broadcast(frequent_table(docs, id_col, text_col, path, sample_docs, frequent))
+    packed = spark.sparkContext.broadcast(frequent_table(docs, id_col, text_col, path, every, frequent))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerlens.llm import (
-    arrow, chat_views, decontaminate, exact_dedup, graph, language_id, masked_lm, mixing, near_dedup, registry, token_counts, toxicity, warc,
+    arrow, chat_views, decontaminate, exact_dedup, graph, language_id, masked_lm, mixing, near_dedup, registry, skew, token_counts, toxicity, warc,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, id string, label string, n int, row int"
@@ -129,7 +129,7 @@ def test_prefix_pairs_find_all_links(spark) -> None:
     base = [f"w{k}" for k in range(40)]
     texts = [(k, edited(r, base[: r.choice((34, 40))], r.randrange(4))) for k in range(40)]
     sets = sets_of([t for _, t in texts], 3)
-    entries = docs(spark, texts).select(F.lit(1).alias("key"), F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
+    entries = docs(spark, texts).select(F.lit(1).alias("key"), F.col("doc_id").alias("id"), F.lit(40).alias("members"), F.col("doc_id").alias("component"))
     nodes = spark.createDataFrame([(k, len(s)) for k, s in enumerate(sets)], "id long, n long")
     frame = docs(spark, texts).select(F.col("doc_id").alias("id"), "text")
     rare = near_dedup.prefixes(entries, frame, nodes, 3, 80)
@@ -138,6 +138,26 @@ def test_prefix_pairs_find_all_links(spark) -> None:
     assert linked and linked <= found
 
 
+def test_near_duplicates_of_a_family_of_passages(spark, monkeypatch) -> None:
+    """Texts of 11 of 14 passages each lie on both sides of the similarity; all keys are hot, and blocks small."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    monkeypatch.setattr(near_dedup, "PAIR_BLOCK", 8)
+    r = random.Random(7)
+    passages = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(14)]
+    texts = [" ".join(passages[k] for k in sorted(r.sample(range(14), 11))) for _ in range(70)] + [passages[0]] * 9 + ["", None, "one"] * 4
+    pairs = list(enumerate(texts))
+    found = near_dedup.near_duplicates(docs(spark, pairs).repartition(5), shingle=4, small=3)
+    assert sorted(map(tuple, found.collect())) == brute_near(pairs, 4)
+
+
+def test_facts_of_hot_keys(spark, monkeypatch) -> None:
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    made = spark.createDataFrame([(k % 7 if k < 20 else 9, k) for k in range(60)] + [(None, 99)], "key int, row int")
+    facts = made.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("row").alias("last")).filter("key <> 3")
+    found = sorted(map(tuple, skew.join_facts(made, facts, ["key"]).select("key", "row", "members", "last").collect()))
+    assert found == sorted(map(tuple, made.join(facts, "key").select("key", "row", "members", "last").collect()))
+
+
 def test_near_nulls_repeats_and_empty(spark) -> None:
     pairs = [(None, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (3, None), (4, ""), (None, "zz")]
     found = sorted(map(tuple, near_dedup.near_duplicates(docs(spark, pairs)).collect()), key=str)
@@ -155,6 +175,19 @@ def test_components_of_a_path_and_a_star(spark) -> None:
 # token counts
 
 
+def test_token_counts_take_a_number_of_jobs_apart_from_partitions(spark) -> None:
+    import public_tokenizers
+
+    def jobs(parts: int) -> int:
+        made, group = docs(spark, [f"a b{k % 5} c" for k in range(300)]).repartition(parts), f"jobs-{parts}"
+        spark.sparkContext.setJobGroup(group, group)
+        token_counts.count_tokens(made, str(public_tokenizers.path("word_bpe_49k.json")), every=2).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(3) == jobs(24)
+
+
 def test_token_counts_against_library(spark) -> None:
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -164,7 +197,7 @@ def test_token_counts_against_library(spark) -> None:
     r = random.Random(2)
     pool = "aAbB's'RE'll 1²Ⅷ\t\n \x1c\x85İΣσß́èÅ漢🙂_-!\"ࢎ"
     texts = ["".join(r.choice(pool + "  ") for _ in range(r.randrange(30))) + r.choice(["", "<|endoftext|>", "<|startoftext|>x"]) for _ in range(400)] + ODD
-    found = {k.doc_id: (k.n_bytes, k.n_tokens, k.over_limit) for k in token_counts.count_tokens(docs(spark, texts), path, sample_docs=50, frequent=20).collect()}
+    found = {k.doc_id: (k.n_bytes, k.n_tokens, k.over_limit) for k in token_counts.count_tokens(docs(spark, texts), path, every=3, frequent=20).collect()}
     for k, t in enumerate(texts):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert found[k] == (len((t or "").encode()), n, n > 2048), t
