@@ -8,18 +8,21 @@
    Words are runs of letters and digits in lower case. Words in a run of ``MIN_WORDS`` words that an item holds count
    nowhere in the space, so copies of an item don't lower the weight of its words.
 2. Retrieval: windows of ``WINDOW`` words, ``STRIDE`` apart, over whole documents are compared by cosine with those of
-   the benchmark items; benchmark vectors go to the workers in blocks of at most ``ITEM_BLOCK`` items. Besides, every
+   the benchmark items; benchmark vectors go to the workers in blocks of about ``BLOCK_WORDS`` words. Besides, every
    run of ``MIN_WORDS`` words that a document shares with an item makes the place where the item would begin a
    candidate, whatever the cosine: no verbatim copy is missed.
 3. Checks: for a candidate the longest common subsequence of the item's words and the words around the window
    must hold a share ``lcs`` of the item, and the item's answer (its last ``ANSWER`` words) a share ``answer``; a share
-   of ``sure`` is enough alone. Paraphrases that keep most words in order are found so, not just copies.
+   of ``sure`` is enough alone. Paraphrases that keep most words in order are found so, not just copies. Items of fewer
+   than ``SHORT`` words need ``STRICT`` shares, as a few common words in order are met by chance.
+4. Items of fewer than ``MIN_WORDS`` words have no such checks: those of ``PHRASE`` words or more match texts that hold
+   them as a run of words, shorter ones texts that consist of them.
 
 Only the latent basis and the benchmark with its runs' hashes, which don't grow with the corpus, reach driver and workers; documents aren't
 shuffled.
 
-Defined results: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words are compared with nothing,
-as any text holds them; equal items are each reported; rows that repeat an id are each compared and reported once for
+Defined results: null and empty texts match nothing, nor do items without words; very long texts are compared whole, a
+block of their own; of windows that match alike the first is reported; equal items are each reported; rows that repeat an id are each compared and reported once for
 each item; empty tables give no rows; further columns are ignored.
 """
 
@@ -39,11 +42,18 @@ FEATURE_BITS = 14
 FEATURES = 1 << FEATURE_BITS
 SKETCH, RANK = 128, 64
 WINDOW, STRIDE = 32, 16
-COSINE = 0.45
-LCS, ANSWER_SHARE, SURE = 0.6, 0.5, 0.85
+COSINE = 0.38
+LCS, ANSWER_SHARE, SURE = 0.55, 0.33, 0.85
+#: Least shares for items of fewer words than SHORT.
+SHORT, STRICT = 16, (0.6, 0.5)
 ANSWER = 6
-MIN_WORDS = 6
-ITEM_BLOCK = 4096
+MIN_WORDS, PHRASE = 6, 3
+#: Words of the items of a block: it has about an eighth as many windows, of 512 bytes each.
+BLOCK_WORDS = 1 << 16
+#: The benchmark is read at once up to so many bytes, else as a stream.
+BENCHMARK_BYTES = 64 << 20
+#: Cosines that are held at once.
+CELLS = 1 << 22
 #: Partial sums of a sketch row, or of the document frequencies, at the first level of the reduction.
 SALTS = 64
 
@@ -58,12 +68,12 @@ def feature_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def run_hashes(found: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of MIN_WORDS words of one text begin, and a hash of each."""
+def run_hashes(found: Words, size: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of so many words of one text begin, and a hash of each."""
     every, owner = hashes_of(found), found.owner
-    n = max(0, len(every) - MIN_WORDS + 1)
+    n = max(0, len(every) - size + 1)
     total = every[:n].copy()
-    for k in range(1, MIN_WORDS):
+    for k in range(1, size):
         total = total * _KEY[0] + every[k : k + n]
     at = np.flatnonzero(owner[:n] == owner[len(every) - n :])
     return at, mix(total[at])
@@ -198,7 +208,7 @@ def latent_space(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     level = parts.repartition("row", "salt").sortWithinPartitions("row", "salt").drop("salt").mapInArrow(merge, kind)
     level = level.repartition("row").sortWithinPartitions("row").mapInArrow(merge, kind)
     sketch, df, passages = np.zeros((SKETCH, FEATURES)), np.zeros(FEATURES), 0
-    for r in level.toLocalIterator():
+    for r in level.collect():
         total = np.zeros(FEATURES + 1)
         total[np.frombuffer(r.features, np.int32)] = np.frombuffer(r.sums, np.int64)
         if r.row == SKETCH:
@@ -234,15 +244,22 @@ class Items:
     vectors: np.ndarray
     item: np.ndarray
     runs: Runs
+    short: dict[int, dict[int, list[int]]]
 
     @staticmethod
     def of(ids: list, texts: list, space: Space) -> Items:
         hashes, vectors, owners, runs = [], [], [], []
+        short: dict[int, dict[int, list[int]]] = {}
         for found in words(pa.array(texts, pa.string()), apart=SIGNS):
             every = hashes_of(found)
             at, run = run_hashes(found)
             runs.append((run, found.owner[at] + found.rows.start, at - found.first[found.owner[at]]))
             hashes += [every[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+            for size in range(1, MIN_WORDS):
+                for k, h in zip(*(x.tolist() for x in run_hashes(found, size)), strict=True):
+                    row = int(found.owner[k])
+                    if found.first[row + 1] - found.first[row] == size:
+                        short.setdefault(size, {}).setdefault(h, []).append(row + found.rows.start)
             for shift in range(0, STRIDE, STRIDE // 2):
                 # Windows that begin between strides as well; a short item has one.
                 n = np.diff(found.first)
@@ -260,7 +277,7 @@ class Items:
         item = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         vector = np.concatenate(vectors) if vectors else np.zeros((0, 2 * RANK), np.float32)
         run = Runs(*(np.concatenate(x) for x in zip(*runs, strict=True))) if runs else Runs(np.zeros(0, np.uint64), item[:0], item[:0])
-        return Items(ids, hashes, np.ascontiguousarray(vector[keep[item]].T), item[keep[item]], run)
+        return Items(ids, hashes, np.ascontiguousarray(vector[keep[item]].T), item[keep[item]], run, short)
 
 
 def masks(item: np.ndarray) -> dict[int, int]:
@@ -310,11 +327,29 @@ def shared_runs(found: Words, items: Items) -> Iterator[tuple[int, int, int, int
     yield from zip(*(x.tolist() for x in (*np.divmod(both, len(items.ids)), begin - longest, counts[order])), strict=True)
 
 
+def short_hits(found: Words, items: Items) -> Iterator[tuple[int, int]]:
+    """(row, item) for texts that hold items of fewer than MIN_WORDS words."""
+    for size, known in items.short.items():
+        at, hashes = run_hashes(found, size)
+        hit = np.isin(hashes, np.array(list(known), np.uint64))
+        for k, h in zip(at[hit].tolist(), hashes[hit].tolist(), strict=True):
+            row = int(found.owner[k])
+            if size >= PHRASE or found.first[row + 1] - found.first[row] == size:
+                yield from ((row, item) for item in known[h])
+
+
+def accepted(n: int, whole: float, told: float, lcs: float, answer: float, sure: float) -> bool:
+    """Whether the shares of an item of n words are enough."""
+    if n < SHORT:
+        lcs, answer = max(lcs, STRICT[0]), max(answer, STRICT[1])
+    return whole >= sure or whole >= lcs and told >= answer
+
+
 def scan(texts: pa.Array, space: Space, items: Items, cosine: float, lcs: float, answer: float, sure: float) -> Iterator[tuple]:
     """(row, item index, cosine, lcs share, answer share) for each text and item that match; the best window's."""
     for found in words(texts, 1 << 18, SIGNS):
         vectors, owner, begin = space.windows(found)
-        best: dict[tuple[int, int], tuple] = {}
+        best: dict[tuple[int, int], tuple] = {pair: (1.0, 1.0, 1.0) for pair in short_hits(found, items)}
         for row, item, at, runs in shared_runs(found, items):
             held = best.get((row, item))
             if held and held[1] >= 1:
@@ -325,11 +360,12 @@ def scan(texts: pa.Array, space: Space, items: Items, cosine: float, lcs: float,
             else:
                 a, b = max(found.first[row], at - n), min(found.first[row + 1], at + 2 * n)
                 whole, told = check(items.hashes[item], hashes_of(found)[a:b])
-            if (whole >= sure or whole >= lcs and told >= answer) and (held is None or (whole, told) > held[1:]):
+            if accepted(n, whole, told, lcs, answer, sure) and (held is None or (whole, told) > held[1:]):
                 w = np.searchsorted(owner, row) + max(0, np.searchsorted(begin[owner == row], at, "right") - 1)
                 best[row, item] = (float((vectors[w] @ items.vectors[:, items.item == item]).max()), whole, told)
-        for at in range(0, len(vectors), 4096):
-            near = vectors[at : at + 4096] @ items.vectors
+        step = max(1, CELLS // max(1, len(items.item)))
+        for at in range(0, len(vectors), step):
+            near = vectors[at : at + step] @ items.vectors
             for w, v in zip(*np.nonzero(near >= cosine), strict=True):
                 row, item = int(owner[at + w]), int(items.item[v])
                 held = best.get((row, item))
@@ -339,7 +375,7 @@ def scan(texts: pa.Array, space: Space, items: Items, cosine: float, lcs: float,
                 a = max(found.first[row], begin[at + w] - n)
                 b = min(found.first[row + 1], begin[at + w] + WINDOW + n)
                 whole, told = check(items.hashes[item], hashes_of(found)[a:b])
-                if (whole >= sure or whole >= lcs and told >= answer) and (held is None or (whole, told) > held[1:]):
+                if accepted(n, whole, told, lcs, answer, sure) and (held is None or (whole, told) > held[1:]):
                     best[row, item] = (float(near[w, v]), whole, told)
         for (row, item), (c, whole, told) in best.items():
             yield found.rows.start + row, item, c, whole, told
@@ -412,14 +448,17 @@ def drop_contaminated(
     return kept.drop(lowered)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int = ITEM_BLOCK) -> Iterator[list]:
-    """The items, a bounded number at a time; the benchmark is read as a stream."""
-    block = []
-    for row in benchmark.select(F.col(item_col).alias("item"), F.lower(text_col).alias("words")).filter("words is not null").toLocalIterator():
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int = BLOCK_WORDS) -> Iterator[list]:
+    """The items, about ``most`` words at a time; a benchmark beyond ``BENCHMARK_BYTES`` is read as a stream."""
+    rows = benchmark.select(F.col(item_col).alias("item"), F.lower(text_col).alias("words")).filter("words is not null")
+    size = rows.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    block, held = [], 0
+    for row in rows.collect() if size <= BENCHMARK_BYTES else rows.toLocalIterator(prefetchPartitions=True):
         block.append((row[0], row[1]))
-        if len(block) == size:
+        held += len(row[1].split()) + 1
+        if held >= most:
             yield block
-            block = []
+            block, held = [], 0
     if block:
         yield block
 

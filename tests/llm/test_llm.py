@@ -341,6 +341,42 @@ def test_contamination_finds_verbatim_copies_of_hot_items(spark) -> None:
     assert [(x.item_id, x.lcs_share) for x in decontaminate.contaminated(alone, benchmark).collect()] == [(3, 1.0)]
 
 
+def test_contamination_recall_against_exhaustive_comparison(spark) -> None:
+    """Items with 30 % of their words changed: what the checks accept at any place, the search finds."""
+    r = random.Random(12)
+    texts = [x.text.lower() for x in spark.read.parquet(f"{SMALL}/documents.parquet").filter("text is not null").select("text").collect()]
+    items = [(x.item_id, x.text.lower()) for x in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    pool = [w for t in texts for w in t.split()[:100]]
+    hosts = [t.split() for t in texts if len(t.split()) > 100]
+    planted = []
+    for k, (_, text) in enumerate(items * 3):
+        host, at = hosts[k % len(hosts)][:300], r.randrange(80)
+        planted.append(" ".join(host[:at] + [r.choice(pool) if r.random() < 0.3 else w for w in text.split()] + host[at:]))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, planted), benchmark).collect()}
+    cut = lambda t: np.concatenate([f.hashes for f in arrow.words(pa.array([t]), apart=arrow.SIGNS)])
+    expected = set()
+    for k, text in enumerate(planted):
+        item_id, item = items[k % len(items)][0], cut(items[k % len(items)][1])
+        words, n = cut(text), len(item)
+        shares = [decontaminate.check(item, words[a : a + 2 * n]) for a in range(0, len(words), max(1, n // 4))]
+        if any(decontaminate.accepted(n, *s, decontaminate.LCS, decontaminate.ANSWER_SHARE, decontaminate.SURE) for s in shares):
+            expected.add((k, item_id))
+    assert len(expected) > 0.85 * len(planted)
+    assert len(found & expected) >= 0.9 * len(expected)
+
+
+def test_contamination_by_short_items_and_blocks(spark, monkeypatch) -> None:
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 8)
+    monkeypatch.setattr(decontaminate, "CELLS", 64)
+    benchmark = spark.createDataFrame([(1, "yes"), (2, "one two three"), (3, ""), (4, None), (5, "..."), (6, " ".join(f"w{k}" for k in range(50)))], "item_id long, text string")
+    long = " ".join(f"x{k % 997}" for k in range(60_000))
+    made = [(1, "Yes!"), (2, "yes and no"), (3, "zero ONE, two three four"), (4, "one two four three"), (5, ""), (6, None), (7, long + " " + " ".join(f"w{k}" for k in range(50))), (7, "yes"), (8, long)]
+    found = sorted((x.doc_id, x.item_id, x.lcs_share) for x in decontaminate.contaminated(docs(spark, made), benchmark).collect())
+    assert found == [(1, 1, 1.0), (3, 2, 1.0), (7, 1, 1.0), (7, 6, 1.0)]
+    assert sorted(x.doc_id for x in decontaminate.drop_contaminated(docs(spark, made), benchmark).collect()) == [2, 4, 5, 6, 8]
+
+
 def test_lcs_against_dynamic_programming() -> None:
     r = np.random.default_rng(9)
     for _ in range(200):
