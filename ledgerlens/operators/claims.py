@@ -65,8 +65,14 @@ def missing_fields(required: DataFrame, fields: DataFrame, keys: list[str], valu
     return required.join(fields.filter(F.trim(F.coalesce(value, F.lit(""))) != "").select(*keys), keys, "left_anti")
 
 
+def blocking(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows with ``blockers``, the sorted names of the rules they break; null breaks a rule. No shuffle: rules are of one row."""
+    broken = F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in sorted(rules.items())])
+    return rows.withColumn("blockers", F.filter(broken, lambda r: r.isNotNull()))
+
+
 def blockers(found: DataFrame, claims: DataFrame, claim: str, reason: str) -> DataFrame:
-    """All claims with the sorted distinct reasons that block them."""
+    """All claims with the sorted distinct reasons that block them, where reasons come from several rows of a claim."""
     sets = found.groupBy(claim).agg(F.array_sort(F.collect_set(reason)).alias("blockers"))
     return claims.select(claim).join(sets, claim, "left").withColumn("blockers", F.coalesce("blockers", F.array().cast("array<string>")))
 

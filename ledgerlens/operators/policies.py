@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions import values as V
-from ledgerlens.functions.similarity import matching_ratio
-from ledgerlens.functions.text import currency, digits, identifier, label_fold
+from ledgerlens.functions.similarity import best_run_ratio
+from ledgerlens.functions.text import currency, digits, identifier, label_fold, substitute_tokens
 from ledgerlens.operators.decisions import ladder, reasons
+from ledgerlens.session import small
 
 
 def deterministic_evidence(field: Column, value: Column, as_of: Column, labels: list[str]) -> Column:
@@ -134,7 +135,7 @@ def page_priority(df: DataFrame, document: str, page: str, field: str, critical:
 
 def permitted(actors: DataFrame, grants: DataFrame, role: str, permission: str) -> DataFrame:
     """Actors whose role has a permission; grants are a small table."""
-    return actors.join(F.broadcast(grants.filter(F.col("permission") == permission).select(role).distinct()), role, "left_semi")
+    return actors.join(small(grants.filter(F.col("permission") == permission).select(role).distinct()), role, "left_semi")
 
 
 def valid_path(labels: Column, parents: dict[str, str | None]) -> Column:
@@ -175,10 +176,25 @@ def first_amount(*columns: Column) -> Column:
     return F.coalesce(*[currency(c) for c in columns])
 
 
-def phrase_match(text: Column, phrase: Column, fuzzy: float = 0.84) -> Column:
-    """EXACT, NORMALIZED, FUZZY (matching blocks of the folded texts) or NONE."""
-    a, b = label_fold(text), label_fold(phrase)
-    return ladder([("EXACT", text.contains(phrase)), ("NORMALIZED", F.concat(F.lit(" "), a, F.lit(" ")).contains(F.concat(F.lit(" "), b, F.lit(" ")))), ("FUZZY", matching_ratio(a, b) >= fuzzy)], "NONE")
+#: Readings of words in labels, the shares that runs of words must reach, and what is too short for that.
+ROUTING_READINGS = {"patlent": "patient", "diagnos1s": "diagnosis", "biil": "bill", "blll": "bill"}
+LONG_PHRASE, LONG_SHARE, SHORT_SHARE, LEAST_PHRASE = 18, 0.82, 0.88, 8
+
+
+def phrase_match(text: Column, phrase: Column) -> Column:
+    """match and score of a phrase in a text, both folded: EXACT, NORMALIZED (after reading words), FUZZY or NONE.
+
+    FUZZY is the best run of as many words, if its share of matching blocks reaches what the phrase's length calls for;
+    phrases of one word or fewer than eight characters are never matched so.
+    """
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", " "))
+    read = lambda x: F.array_join(substitute_tokens(plain(x), ROUTING_READINGS), " ")
+    t, p = read(text), read(phrase)
+    fuzzy = p.contains(" ") & (F.length(p) >= LEAST_PHRASE)
+    share = F.when(fuzzy, best_run_ratio(t, p)).otherwise(0.0)
+    least = F.when(F.length(p) >= LONG_PHRASE, LONG_SHARE).otherwise(SHORT_SHARE)
+    found = ladder([("NONE", (t == "") | (p == "")), ("EXACT", plain(text).contains(plain(phrase))), ("NORMALIZED", t.contains(p)), ("FUZZY", fuzzy & (share >= least))], "NONE")
+    return F.struct(found.alias("match"), F.when(found.isin("EXACT", "NORMALIZED"), 1.0).otherwise(F.round(share, 6)).alias("score"))
 
 
 def cross_field(birth: Column, start: Column, end: Column, total: Column, lines: Column) -> Column:

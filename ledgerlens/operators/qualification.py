@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.text import contains_tokens
 from ledgerlens.functions.values import ratio
 from ledgerlens.operators.decisions import ladder, reasons
+from ledgerlens.session import small
 
 
 def qualify(assets: DataFrame, rules: dict[str, Column], review: list[str]) -> DataFrame:
@@ -74,7 +74,7 @@ def locate(tokens: DataFrame, anchors: DataFrame, right: float = 400.0, below: f
 
     ``anchors`` (field, alias) is small. The anchor is the first token that is an alias of the field.
     """
-    found = tokens.join(F.broadcast(anchors), contains_tokens(F.col("text"), F.col("alias")))
+    found = tokens.join(small(anchors), contains_tokens(F.col("text"), F.col("alias")))
     first = found.groupBy("page_id", "field").agg(F.min(F.struct("y0", "x0", "x1", "y1")).alias("a"))
     pairs = first.join(tokens, "page_id")
     dx, dy = F.col("x0") - F.col("a.x1"), F.col("y0") - F.col("a.y0")
@@ -85,47 +85,29 @@ def locate(tokens: DataFrame, anchors: DataFrame, right: float = 400.0, below: f
     return best.select("page_id", "field", F.col("b.text").alias("text"), F.col("b.score").alias("score"))
 
 
-def fuse_tokens(lines: DataFrame, keys: list[str], controlled: list[str]) -> DataFrame:
-    """One line of text for each key from readings of independent families (key columns, family, text, confidence).
+def fuse_tokens(readings: DataFrame, keys: list[str], controlled: list[str]) -> DataFrame:
+    """One text for each key from readings (keys, family, text, confidence), or null where none can be made of them.
 
-    Of the two readings of different families with equally many words that differ least (then the surest pair), each
-    word is taken where both agree; a controlled term repairs one differing letter; else the surer reading's word if
-    they differ in at most two letters. Without such a pair, or a word that differs more, there is no line.
+    Readings of two families with as many words each are a pair; the pair of least edit distance counts, then that of
+    most confidence. Word by word, a controlled term wins over a word one letter off, the surer reading's word over one
+    at most two letters off; a word that differs more leaves the key without text. A key has a few readings, so pairs
+    are made by a join.
     """
-    terms = {t.lower() for t in controlled}
-
-    def distance(a: str, b: str) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    def fuse(group: pd.DataFrame) -> pd.DataFrame:
-        readings = [(f, (t or "").split(), float(c or 0)) for f, t, c in group[["family", "text", "confidence"]].itertuples(index=False) if (t or "").strip()]
-        readings.sort(key=lambda r: (-r[2], r[0], r[1]))
-        pairs = []
-        for i, a in enumerate(readings):
-            for b in readings[i + 1 :]:
-                if a[0] != b[0] and len(a[1]) == len(b[1]):
-                    pairs.append((sum(distance(x.lower(), y.lower()) for x, y in zip(a[1], b[1], strict=True)), -(a[2] + b[2]), len(pairs), a, b))
-        fused = None
-        if pairs:
-            *_, a, b = min(pairs, key=lambda p: p[:3])
-            fused = []
-            for x, y in zip(a[1], b[1], strict=True):
-                d = distance(x.lower(), y.lower())
-                term = next((w for w in (x, y) if w.lower() in terms), None)
-                if d and term and d <= 1:
-                    fused.append(term)
-                elif d <= 2:
-                    fused.append(x)
-                else:
-                    fused = None
-                    break
-        head = {k: group[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**head, "text": " ".join(fused) if fused is not None else None}])
-
-    kinds = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys)
-    return lines.groupBy(*keys).applyInPandas(fuse, f"{kinds}, text string")
+    words = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    rows = readings.select(*keys, "family", words.alias("words"), F.coalesce("confidence", F.lit(0.0)).alias("sure")).filter(F.size("words") > 0)
+    other = rows.select(*keys, F.col("family").alias("family2"), F.col("words").alias("words2"), F.col("sure").alias("sure2"))
+    surer = (F.col("sure") > F.col("sure2")) | (F.col("sure") == F.col("sure2")) & (F.col("family") < F.col("family2"))
+    apart = F.zip_with("words", "words2", lambda x, y: F.levenshtein(F.lower(x), F.lower(y)))
+    pairs = rows.join(other, keys).filter((F.col("family") != F.col("family2")) & (F.size("words") == F.size("words2")) & surer)
+    distance = F.aggregate(apart, F.lit(0), lambda a, d: a + d)
+    rank = F.struct(distance, -(F.col("sure") + F.col("sure2")), "family", "family2", "words", "words2")
+    best = pairs.groupBy(*keys).agg(F.min_by(F.struct("words", "words2"), rank).alias("p"))
+    term = lambda w: F.lower(w).isin([t.lower() for t in controlled])
+
+    def choose(x: Column, y: Column) -> Column:
+        d = F.levenshtein(F.lower(x), F.lower(y))
+        return F.when((d == 1) & ~term(x) & term(y), y).when(d <= 2, x)
+
+    chosen = F.zip_with("p.words", "p.words2", choose)
+    text = F.when(~F.exists(chosen, lambda w: w.isNull()), F.array_join(chosen, " "))
+    return readings.select(*keys).distinct().join(best.select(*keys, text.alias("text")), keys, "left")

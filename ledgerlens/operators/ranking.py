@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from ledgerlens.session import materialize
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -38,14 +44,33 @@ def rank_candidates(df: DataFrame, keys: list[str], identifier: str, weights: di
     return scored.withColumns({"rank": F.row_number().over(w), "close": close})
 
 
-def reconcile_evidence(df: DataFrame, keys: list[str], value: str, family: str, score: str, margin: float = 0.05, least: float = 0.45) -> DataFrame:
-    """Values of each key by independent families and best score; ACCEPT, CONFLICT (the next is as good) or REVIEW."""
-    groups = df.groupBy(*keys, value).agg(F.count_distinct(family).alias("families"), F.max(score).alias("best"))
-    w = W.partitionBy(*keys).orderBy(F.desc("families"), F.desc("best"), F.asc(value))
-    top = groups.withColumns({"__rn": F.row_number().over(w), "__f": F.lead("families").over(w), "__b": F.lead("best").over(w)}).filter("__rn = 1")
-    tied = F.coalesce((F.col("__f") == F.col("families")) & (F.col("best") - F.col("__b") < margin), F.lit(False))
-    verdict = F.when(tied, "CONFLICT").when((F.col("families") >= 2) & (F.col("best") >= least), "ACCEPT").otherwise("REVIEW")
-    return top.select(*keys, value, "families", "best", verdict.alias("verdict"))
+#: What agreement of independent families adds to a value's confidence.
+AGREEMENT_BONUS = 0.04
+
+
+def reconcile_evidence(
+    df: DataFrame, keys: list[str], value: str, family: str, score: str, reference: str | None = None, margin: float = 0.05, least: float = 0.45
+) -> DataFrame:
+    """The best value of each key: first what at least two independent families read, then by calibrated score, then by value.
+
+    Its confidence is 1 where it is the verified ``reference`` (the same for all rows of a key; case and outer blanks
+    don't count), else the best score and a bonus for agreement. CONTRADICTION with the reference, CONFLICT (the next
+    agrees as well and is within the margin), ACCEPT (agreement or reference, and confidence enough) or REVIEW.
+    """
+    known = F.first(reference, ignorenulls=True) if reference else F.lit(None).cast("string")
+    groups = df.filter(F.trim(value) != "").groupBy(*keys, value).agg(F.count_distinct(family).alias("families"), F.max(score).alias("best"), known.alias("__r"))
+    groups = groups.withColumn("agreed", F.col("families") >= 2)
+    w = W.partitionBy(*keys).orderBy(F.desc("agreed"), F.desc("best"), F.asc(value))
+    top = groups.withColumns({"__rn": F.row_number().over(w), "__a": F.lead("agreed").over(w), "__b": F.lead("best").over(w)}).filter("__rn = 1")
+    plain = lambda c: F.lower(F.trim(c))
+    match = F.coalesce(plain(F.col(value)) == plain(F.col("__r")), F.lit(False))
+    confidence = F.when(match, 1.0).otherwise(F.least(F.lit(1.0), F.col("best") + F.when(F.col("agreed"), AGREEMENT_BONUS).otherwise(0.0)))
+    tied = F.coalesce((F.col("__a") == F.col("agreed")) & (F.col("best") - F.col("__b") < margin), F.lit(False))
+    verdict = (
+        F.when(F.col("__r").isNotNull() & ~match, "CONTRADICTION").when(tied & ~match, "CONFLICT")
+        .when((F.col("agreed") | match) & (confidence >= least), "ACCEPT").otherwise("REVIEW")
+    )
+    return top.select(*keys, value, "families", "best", F.round(confidence, 6).alias("confidence"), verdict.alias("verdict"))
 
 
 def islands(df: DataFrame, keys: list[str], order: str, start: Column) -> DataFrame:
@@ -73,19 +98,42 @@ def daily_budget(df: DataFrame, key: str, ts: str, cost: str, tie: str, limit: f
     return df.withColumn("spent", F.round(F.sum(cost).over(w), 6)).withColumn("within", F.col("spent") <= limit)
 
 
+START = "0" * 64
+
+
 def chain_hashes(df: DataFrame, keys: list[str], order: str, payload: Column) -> DataFrame:
-    """Each row's hash and that of the row before it (zeros at the start), for verification of a chain."""
-    w = W.partitionBy(*keys).orderBy(order)
-    own = df.withColumn("event_hash", F.sha2(payload, 256))
-    return own.withColumn("previous_hash", F.lag("event_hash", 1, "0" * 64).over(w))
+    """Each row with its predecessor's hash (zeros at the start) and its own: that of the predecessor's and its payload.
+
+    A chain is sequential: rows are dealt by key and sorted, and each partition is read as a stream with one hash kept,
+    so that no chain is held in memory.
+    """
+    at, width = [df.columns.index(k) for k in keys], len(df.columns)
+    dealt = df.withColumn("__payload", payload).repartition(*keys).sortWithinPartitions(*keys, order)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, START
+        for batch in batches:
+            before, own = [], []
+            for *found, text in zip(*(batch.column(k).to_pylist() for k in [*at, width]), strict=True):
+                if found != key:
+                    key, last = found, START
+                before.append(last)
+                last = hashlib.sha256((last + (text or "")).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(before, pa.string()), pa.array(own, pa.string())], names)
+
+    names = [*df.columns, "previous_hash", "event_hash"]
+    schema = T.StructType([*df.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
+    return dealt.mapInArrow(link, schema)
 
 
 def verify_chain(df: DataFrame, keys: list[str], order: str, payload: Column) -> DataFrame:
-    """Rows of each key whose hash isn't that of their payload, or whose predecessor's hash isn't the one they name."""
+    """Rows of each key, and of those the broken ones: the hash isn't that of the named predecessor's hash and the payload, or the one named isn't the predecessor's."""
     w = W.partitionBy(*keys).orderBy(order)
-    expected = F.lag("event_hash", 1, "0" * 64).over(w)
-    checked = df.withColumn("__ok", (F.col("event_hash") == F.sha2(payload, 256)) & (F.col("previous_hash") == expected))
-    return checked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("__ok")).alias("broken"))
+    expected = F.lag("event_hash", 1, START).over(w)
+    own = F.sha2(F.concat("previous_hash", F.coalesce(payload, F.lit(""))), 256)
+    checked = df.withColumn("__ok", F.coalesce((F.col("event_hash") == own) & (F.col("previous_hash") == expected), F.lit(False)))
+    return checked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("__ok")).alias("broken"), F.max_by("event_hash", order).alias("head"))
 
 
 def latest_distinct(df: DataFrame, keys: list[str], distinct: list[str], order: str, n: int) -> DataFrame:
@@ -96,9 +144,29 @@ def latest_distinct(df: DataFrame, keys: list[str], distinct: list[str], order:
     return kept.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("__rn")))).drop("__rn")
 
 
+def ordered_parts(df: DataFrame, order: str) -> DataFrame:
+    """``df`` dealt to ranges of ``order`` and sorted, written, with ``__part`` and ``__at`` (consecutive within a part)."""
+    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    at = F.monotonically_increasing_id()
+    return materialize(parts.withColumns({"__part": F.spark_partition_id(), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "ordered")
+
+
+def offsets(parts: DataFrame, amount: Column) -> DataFrame:
+    """Of each part the sum of ``amount`` over the parts before it, ``__before``: one row for each part."""
+    sums = parts.groupBy("__part").agg(amount.alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return F.broadcast(sums.select("__part", before.alias("__before")))
+
+
+def numbered(df: DataFrame, order: str, number: str = "number") -> DataFrame:
+    """Rows numbered from 0 in a global order, without all of them in one task; equal values are in any order."""
+    parts = ordered_parts(df, order)
+    return parts.join(offsets(parts, F.count(F.lit(1))), "__part").withColumn(number, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
 def round_robin(df: DataFrame, order: str, n: int) -> DataFrame:
-    """Assigns rows to n workers in turn; the order is global, so this is for lists of work, not for the corpus."""
-    return df.withColumn("worker", (F.row_number().over(W.orderBy(order)) - 1) % n)
+    """Assigns rows to n workers in turn, in a global order."""
+    return numbered(df, order, "__number").withColumn("worker", (F.col("__number") % n).cast("int")).drop("__number")
 
 
 def largest_remainder(df: DataFrame, strata: list[str], total: int) -> DataFrame:

@@ -100,16 +100,16 @@ def claim_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blocker_pareto(spark: SparkSession, d: str) -> DataFrame:
-    return C.blocker_pareto(C.blockers(_violations(spark, d), claims(spark, d), "claim_id", "rule"))
+    return C.blocker_pareto(C.blocking(_checked(spark, d), claim_rules()))
 
 
 def blocker_sets(spark: SparkSession, d: str) -> DataFrame:
-    return C.blocker_sets(C.blockers(_violations(spark, d), claims(spark, d), "claim_id", "rule"))
+    return C.blocker_sets(C.blocking(_checked(spark, d), claim_rules()))
 
 
 def review_load(spark: SparkSession, d: str) -> DataFrame:
     """Mean and median reviews of a claim, and the share without any, by priority."""
-    per = C.blockers(_violations(spark, d), claims(spark, d), "claim_id", "rule").join(claims(spark, d).select("claim_id", "priority"), "claim_id")
+    per = C.blocking(_checked(spark, d), claim_rules())
     k = F.size("blockers")
     return per.groupBy("priority").agg(
         F.count(F.lit(1)).alias("claims"), F.round(F.avg(k), 6).alias("mean_reviews"), F.median(k).alias("median_reviews"), F.round(F.avg((k == 0).cast("int")), 6).alias("straight_through")
@@ -118,7 +118,7 @@ def review_load(spark: SparkSession, d: str) -> DataFrame:
 
 def unlock_waterfall(spark: SparkSession, d: str) -> DataFrame:
     """Claims by what would release them: nothing, one reason, or several; the first in order of priority."""
-    sets = C.blockers(_violations(spark, d), claims(spark, d), "claim_id", "rule")
+    sets = C.blocking(_checked(spark, d), claim_rules())
     order = F.array(*[F.lit(x) for x in ("NOT_OPEN", "TOTAL_MATCH", "TIMELY", "SINGLE_PROVIDER")])
     kind = F.when(F.size("blockers") == 0, "RELEASED").when(F.size("blockers") == 1, "SOLE_BLOCKER").otherwise("SEVERAL")
     return sets.groupBy(kind.alias("kind"), F.coalesce(F.get(F.array_intersect(order, "blockers"), F.lit(0)), F.lit("NONE")).alias("primary")).agg(F.count(F.lit(1)).alias("claims"))
@@ -141,7 +141,9 @@ def closest_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def counterfactual_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return C.counterfactual(_evidence(spark, d), "claim_id", F.col("available"), _OPTIONS, ["A", "N", "R", "X"])
+    """Lines with odd and with even numbers are a claim's two fields, each with evidence of its own."""
+    fields = lines(spark, d).groupBy("claim_id", (F.col("line") % 2).alias("field")).agg(F.array_sort(F.collect_set("flag")).alias("available"))
+    return C.counterfactual(fields, "claim_id", F.col("available"), _OPTIONS, ["A", "N", "R", "X"])
 
 
 def threshold_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -232,10 +234,11 @@ ORACLES = {
         WITH {_EVIDENCE}, b AS (SELECT {_CLOSEST} AS b FROM evidence)
         SELECT b.m AS missing, array_to_string(b.l, '+') AS lacking, count(*) AS claims FROM b GROUP BY 1, 2""",
     "counterfactual_evidence": f"""
-        WITH {_EVIDENCE}, t AS (
-            SELECT a AS added, claim_id, list_append(available, a) AS h FROM evidence, unnest(['A', 'N', 'R', 'X']) u(a)),
-        o AS (SELECT added, list_has_all(h, ['A', 'N']) OR list_has_all(h, ['R', 'N']) OR list_has_all(h, ['A', 'R', 'X']) AS ok FROM t)
-        SELECT added, count(*) FILTER (ok) AS claims_all, count(*) FILTER (ok) AS claims_any, count(*) AS claims FROM o GROUP BY added""",
+        WITH {CLAIMS}, f AS (SELECT claim_id, line % 2 AS field, list(DISTINCT flag) AS available FROM lines GROUP BY ALL),
+        t AS (SELECT a AS added, claim_id, list_append(available, a) AS h FROM f, unnest(['A', 'N', 'R', 'X']) u(a)),
+        o AS (SELECT added, claim_id, list_has_all(h, ['A', 'N']) OR list_has_all(h, ['R', 'N']) OR list_has_all(h, ['A', 'R', 'X']) AS ok FROM t),
+        p AS (SELECT added, claim_id, min(ok::INT) AS worst, max(ok::INT) AS best FROM o GROUP BY ALL)
+        SELECT added, count(*) FILTER (worst = 1) AS claims_all, count(*) FILTER (best = 1) AS claims_any, count(*) AS claims FROM p GROUP BY added""",
     "threshold_lookup": """
         WITH r AS (
             SELECT c_mktsegment AS segment, c_acctbal, CASE WHEN c_mktsegment = 'AUTOMOBILE' AND c_nationkey = 7 THEN 9000.0

@@ -10,10 +10,11 @@ from ledgerlens.session import table
 
 
 def reference_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Customers checked against the suppliers of their nation: one and in credit is verified."""
-    requests = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
-    records = table(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("nation"), "s_acctbal")
-    out = M.reference_decision(requests, records, ["nation"], F.col("s_acctbal") > 0, F.col("c_acctbal") <= F.col("s_acctbal"))
+    """Customers checked against the suppliers of their nation whose balance has the same hundreds: one and in credit is verified."""
+    band = lambda c: F.floor(F.col(c) / 100).alias("band")
+    requests = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), band("c_acctbal"), "c_acctbal")
+    records = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), band("s_acctbal"), "s_acctbal")
+    out = M.reference_decision(requests, records, ["nation", "band"], F.col("s_acctbal") > 0, F.col("c_acctbal") <= F.col("s_acctbal"))
     return out.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -34,15 +35,24 @@ def name_similarity(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", F.round(M.name_similarity(F.col("na"), F.col("nb")), 6).alias("ratio"))
 
 
+#: Bits in which hashes of near vectors may differ.
+NEAR_BITS = 4
+
+
 def _vector_hash(e: DataFrame) -> DataFrame:
-    """Signs of the first 64 numbers of each vector as a hash."""
-    bits = F.array_join(F.transform(F.slice("embedding", 1, 64), lambda v: F.when(v > 0, "1").otherwise("0")), "")
+    """Signs of the sums of every 64th number of each vector as a hash."""
+    every = lambda k: F.aggregate(F.filter("embedding", lambda v, i: i % 64 == k), F.lit(0.0), lambda a, v: a + v)
+    bits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(every(k) > 0, "1").otherwise("0")), "")
     half = lambda k: F.lpad(F.lower(F.conv(F.substring(bits, k, 32), 2, 16)), 8, "0")
     return e.select("vec_id", F.concat(half(1), half(33)).alias("h"))
 
 
 def near_hash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return M.near_hash_pairs(_vector_hash(table(spark, d, "embeddings")), "vec_id", "h", 18)
+    """Pairs of near vectors; to one vector in ten a copy is added with two numbers turned."""
+    own = table(spark, d, "embeddings").select("vec_id", "embedding")
+    turned = F.transform("embedding", lambda v, i: F.when(i < 2, -v).otherwise(v))
+    copies = own.filter("vec_id % 10 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), turned.alias("embedding"))
+    return M.near_hash_pairs(_vector_hash(own.unionByName(copies)), "vec_id", "h", NEAR_BITS)
 
 
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +71,7 @@ def nearest_supplier(spark: SparkSession, d: str) -> DataFrame:
     """The supplier of its nation whose balance is nearest to each customer's."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    return M.nearest(c, s, ["nation"], "c_custkey", "s_suppkey", F.abs(F.col("c_acctbal") - F.col("s_acctbal"))).select("c_custkey", "s_suppkey", F.round("distance", 2).alias("distance"))
+    return M.nearest(c, s, ["nation"], "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal").select("c_custkey", "s_suppkey", F.round("distance", 2).alias("distance"))
 
 
 def following_turns(spark: SparkSession, d: str) -> DataFrame:
@@ -71,10 +81,10 @@ def following_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlapping_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of order lines that overlap boxes of the same order's first two lines."""
+    """Boxes of order lines that overlap boxes of other lines of the order."""
     x = F.col("l_quantity").cast("double")
     boxes = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("id"), x.alias("x0"), (F.col("l_linenumber") * 4.0).alias("y0"), (x + 10).alias("x1"), (F.col("l_linenumber") * 4.0 + 6).alias("y1"))
-    return M.overlapping(boxes, boxes.filter("id <= 2"), "l_orderkey", 8.0).groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n"))
+    return M.overlapping(boxes, boxes, "l_orderkey", 8.0).filter("id_a < id_b").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def complete_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -98,9 +108,11 @@ def split_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def representation_gaps(spark: SparkSession, d: str) -> DataFrame:
-    leaves = table(spark, d, "part").select("p_type").distinct()
-    rows = table(spark, d, "part").filter("p_size <= 2")
-    return G.representation_gaps(leaves, rows, "p_type", "p_brand", 26)
+    """Types and sizes of parts with fewer than eight brands; every type could have every size."""
+    rows = table(spark, d, "part").select("p_brand", F.concat_ws(" ", "p_type", "p_size").alias("leaf"))
+    sizes = table(spark, d, "part").agg(F.sequence(F.min("p_size"), F.max("p_size")).alias("sizes"))
+    leaves = table(spark, d, "part").select("p_type").distinct().crossJoin(sizes).select("p_type", F.explode("sizes").alias("size")).select(F.concat_ws(" ", "p_type", "size").alias("leaf"))
+    return G.representation_gaps(leaves, rows, "leaf", "p_brand", 8)
 
 
 def concentration(spark: SparkSession, d: str) -> DataFrame:
@@ -164,19 +176,20 @@ _SPLIT = "CASE WHEN ('0x' || substr(sha256('17:' || {k}), 1, 8))::BIGINT % 100 <
 _FOLD = r"trim(regexp_replace(replace(lower(coalesce({x}, '')), '|', 'i'), '[^a-z0-9]+', ' ', 'g'))"
 ORACLES = {
     "reference_decisions": """
-        WITH r AS (SELECT s_nationkey AS n, count(*) AS k, bool_and(s_acctbal > 0) AS ok, any_value(s_acctbal) AS b FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1)
+        WITH r AS (SELECT s_nationkey AS n, floor(s_acctbal / 100) AS f, count(*) AS k, bool_and(s_acctbal > 0) AS ok, any_value(s_acctbal) AS b FROM supplier GROUP BY 1, 2)
         SELECT CASE WHEN k IS NULL THEN 'MISSING' WHEN k > 1 THEN 'AMBIGUOUS' WHEN NOT ok THEN 'UNAUTHORISED' WHEN NOT c_acctbal <= b THEN 'CONTRADICTION' ELSE 'VERIFIED' END AS verdict,
-               count(*) AS n FROM customer LEFT JOIN r ON c_nationkey = r.n GROUP BY 1""",
+               count(*) AS n FROM customer LEFT JOIN r ON c_nationkey = r.n AND floor(c_acctbal / 100) = r.f GROUP BY 1""",
     "best_supplier": """
         WITH p AS (SELECT c_custkey, s_suppkey, 1 - least(abs(c_acctbal - s_acctbal) / 10000, 1) AS b, (c_custkey % 10 = s_suppkey % 10)::INT AS k
                    FROM customer JOIN supplier ON c_nationkey = s_nationkey),
         s AS (SELECT *, round((b * 0.7::DOUBLE + k * 0.3::DOUBLE) / (0.7::DOUBLE + 0.3::DOUBLE), 8) AS score FROM p)
         SELECT c_custkey, s_suppkey, score, score >= 0.9 AND (b = 1 OR k = 1) AS verified FROM s
         QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) = 1""",
-    "near_hash_pairs": """
-        WITH h AS (SELECT vec_id, list_transform(embedding[1:64], lambda v: (v > 0)::INT) AS b FROM embeddings),
+    "near_hash_pairs": f"""
+        WITH e AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, [-embedding[1], -embedding[2]] || embedding[3:] FROM embeddings WHERE vec_id % 10 = 0),
+        h AS (SELECT vec_id, list_transform(range(1, 65), lambda k: (list_sum([embedding[i] FOR i IN range(k, len(embedding) + 1, 64)]) > 0)::INT) AS b FROM e),
         p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(range(1, 65), lambda k: (x.b[k] <> y.b[k])::INT))::INT AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id)
-        SELECT * FROM p WHERE distance <= 18""",
+        SELECT * FROM p WHERE distance <= {NEAR_BITS}""",
     "candidate_pairs": """
         SELECT l_returnflag, count(*) AS pairs FROM lineitem x JOIN lineitem y USING (l_orderkey, l_returnflag)
         WHERE x.l_linenumber < y.l_linenumber AND x.l_suppkey <> y.l_suppkey GROUP BY 1""",
@@ -191,7 +204,7 @@ ORACLES = {
         WHERE x.role = 'system' AND y.turn - x.turn BETWEEN 0 AND 2 GROUP BY 1, 2""",
     "overlapping_boxes": """
         WITH b AS (SELECT l_orderkey, l_linenumber AS id, l_quantity AS x0, l_linenumber * 4 AS y0, l_quantity + 10 AS x1, l_linenumber * 4 + 6 AS y1 FROM lineitem),
-        p AS (SELECT DISTINCT a.l_orderkey, a.id AS id_a, b.id AS id_b FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND b.id <= 2
+        p AS (SELECT DISTINCT a.l_orderkey, a.id AS id_a, b.id AS id_b FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.id < b.id
               WHERE a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
         SELECT id_a, id_b, count(*) AS n FROM p GROUP BY 1, 2""",
     "complete_orders": """
@@ -204,8 +217,9 @@ ORACLES = {
         WITH s AS (SELECT sha256(text) AS digest, {_SPLIT.format(k='doc_id')} AS split FROM documents)
         SELECT digest, count(DISTINCT split) AS splits, count(*) AS n FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1""",
     "representation_gaps": """
-        WITH l AS (SELECT DISTINCT p_type FROM part), c AS (SELECT p_type, count(DISTINCT p_brand) AS sources FROM part WHERE p_size <= 2 GROUP BY 1)
-        SELECT p_type, coalesce(sources, 0) AS sources FROM l LEFT JOIN c USING (p_type) WHERE coalesce(sources, 0) < 26""",
+        WITH l AS (SELECT DISTINCT p_type || ' ' || s AS leaf FROM part, (SELECT unnest(generate_series(min(p_size), max(p_size))) AS s FROM part)),
+        c AS (SELECT p_type || ' ' || p_size AS leaf, count(DISTINCT p_brand) AS sources FROM part GROUP BY 1)
+        SELECT leaf, coalesce(sources, 0) AS sources FROM l LEFT JOIN c USING (leaf) WHERE coalesce(sources, 0) < 8""",
     "concentration": """
         WITH c AS (SELECT source, lang, count(*) AS k FROM documents GROUP BY ALL)
         SELECT source, sum(k)::BIGINT AS n, count(*) AS sources, round(max(k) / sum(k), 6) AS top_share, max(k) / sum(k) > 0.6 AND sum(k) >= 20 AS concentrated FROM c GROUP BY source""",

@@ -133,8 +133,11 @@ def same_as_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
-    """How types of parts match a phrase."""
-    return table(spark, d, "part").groupBy("p_type", P.phrase_match(F.col("p_type"), F.lit("STANDARD PLATED")).alias("match")).agg(F.count(F.lit(1)).alias("n"))
+    """How a phrase and types and names of parts match; one name in three has a letter read wrongly."""
+    text = F.concat("p_type", F.lit(", "), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.expr("left(p_name, length(p_name) - 1)"), F.lit("q"))).otherwise(F.upper("p_name")))
+    rows = table(spark, d, "part").select(text.alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    out = rows.withColumn("m", P.phrase_match(F.col("text"), F.lit("Small Widget")))
+    return out.groupBy("m.match").agg(F.sum("n").alias("n"))
 
 
 def cross_field_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -157,6 +160,11 @@ QUERIES = {
 }
 _DAY = "try_strptime(value, '%Y-%m-%d')::DATE"
 ORACLES = {
+    "phrase_matches": """
+        WITH t AS (SELECT trim(regexp_replace(lower(p_type || ', ' || CASE WHEN p_partkey % 3 = 0 THEN p_name[:-2] || 'q' ELSE upper(p_name) END), '[^a-z0-9]+', ' ', 'g')) AS t FROM part),
+        r AS (SELECT t, unnest([list_aggregate(string_split(t, ' ')[k:k + 1], 'string_agg', ' ') FOR k IN range(1, len(string_split(t, ' ')))]) AS run FROM t),
+        b AS (SELECT t, max((levenshtein(run, 'small widget') <= 1)::INT) AS near FROM (SELECT DISTINCT * FROM r) GROUP BY 1)
+        SELECT CASE WHEN contains(t, 'small widget') THEN 'EXACT' WHEN near = 1 THEN 'FUZZY' ELSE 'NONE' END AS match, count(*) AS n FROM t JOIN b USING (t) GROUP BY 1""",
     "deterministic_evidence": f"""
         WITH {_FIELDS}, e AS (
             SELECT field, trim(value) = '' AS blank, upper(value) = 'PATIENT NAME' OR upper(value) = 'SEGMENT' AS label,

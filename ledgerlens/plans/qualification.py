@@ -70,9 +70,14 @@ def located_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fused_names(spark: SparkSession, d: str) -> DataFrame:
-    """Two readings of nations' names, one with a letter changed."""
-    n = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(F.struct(F.lit("a").alias("family"), F.col("n_name").alias("text"), F.lit(0.9).alias("confidence")), F.struct(F.lit("b").alias("family"), F.concat(F.lit("x"), F.substring("n_name", 2, 99)).alias("text"), F.lit(0.7).alias("confidence")))).alias("r")).select("n_nationkey", "r.*")
-    return Q.fuse_tokens(n, ["n_nationkey"], [])
+    """Readings of part names by two families that agree, miss a letter each, or miss a word; a third has another number of words."""
+    name, kind = F.col("p_name"), F.col("p_partkey") % 5
+    sure = F.when(kind == 1, F.concat(F.expr("left(p_name, length(p_name) - 1)"), F.lit("#"))).otherwise(name)
+    other = F.when(kind == 2, F.concat(F.lit("#"), F.substring("p_name", 2, 99))).when(kind == 3, F.reverse(name)).when(kind == 4, F.upper(name)).otherwise(name)
+    read = lambda f, t, c: F.struct(F.lit(f).alias("family"), t.alias("text"), F.lit(c).alias("confidence"))
+    rows = table(spark, d, "part").select("p_partkey", F.explode(F.array(read("a", sure, 0.9), read("b", other, 0.7), read("c", F.concat(name, F.lit(" x")), 0.99))).alias("r"))
+    out = Q.fuse_tokens(rows.select("p_partkey", "r.*"), ["p_partkey"], ["ring", "Gear", "bolt"])
+    return out.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -102,5 +107,12 @@ ORACLES = {
     "hierarchy_labels": """
         SELECT l_linestatus || CASE WHEN round(1 - l_discount, 6) >= 0.95::DOUBLE THEN '/' || l_returnflag || CASE WHEN round(1 - l_tax, 6) >= 0.95::DOUBLE THEN '/' || l_linenumber ELSE '' END ELSE '' END AS path, count(*) AS n
         FROM lineitem GROUP BY 1""",
-    "fused_names": "SELECT n_nationkey, n_name AS text FROM nation",
+    "fused_names": """
+        WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 1 THEN p_name[:-2] || '#' ELSE p_name END AS a,
+                          CASE p_partkey % 5 WHEN 2 THEN '#' || p_name[2:] WHEN 3 THEN reverse(p_name) WHEN 4 THEN upper(p_name) ELSE p_name END AS b FROM part),
+        w AS (SELECT p_partkey, unnest(string_split(a, ' ')) AS x, unnest(string_split(b, ' ')) AS y, generate_subscripts(string_split(a, ' '), 1) AS k FROM r),
+        c AS (SELECT *, levenshtein(lower(x), lower(y)) AS d FROM w),
+        o AS (SELECT *, CASE WHEN d = 1 AND lower(y) IN ('ring', 'gear', 'bolt') AND lower(x) NOT IN ('ring', 'gear', 'bolt') THEN y WHEN d <= 2 THEN x END AS z FROM c),
+        t AS (SELECT p_partkey, CASE WHEN count(z) = count(*) THEN string_agg(z, ' ' ORDER BY k) END AS text FROM o GROUP BY 1)
+        SELECT text, count(*) AS n FROM t GROUP BY 1""",
 }

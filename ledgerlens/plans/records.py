@@ -59,11 +59,10 @@ def field_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Records of 200 orders, heads before lines, split into claims and fields (a bounded file: one writer's output)."""
-    orders = table(spark, d, "orders").filter("o_orderkey < 200")
+    """Records of all orders, heads before lines, split into claims and fields."""
+    orders = table(spark, d, "orders")
     head = X.render(orders, HEAD, {"type": F.lit("10"), "order": F.col("o_orderkey"), "total": F.col("o_totalprice").cast("decimal(18,2)")})
-    body = _lines(spark, d).filter(F.substring("value", 3, 10).cast("long") < 200)
-    lines = _written(spark, head.union(body)).withColumn("no", F.concat(F.substring("value", 3, 10), F.substring("value", 1, 2), F.substring("value", 13, 2)))
+    lines = _written(spark, head.union(_lines(spark, d))).withColumn("no", F.concat(F.substring("value", 3, 10), F.substring("value", 1, 2), F.substring("value", 13, 2)))
     out = X.labels(lines, {"10": HEAD, "20": LINE}, "no")
     return out.groupBy("claim_no", "record_type", "field").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("least"))
 
@@ -144,7 +143,7 @@ ORACLES = {
         UNION ALL SELECT '10', 0, 0, 1, -1""",
     "field_total": f"SELECT sum({_CHARGE})::BIGINT AS total FROM lineitem",
     "claim_labels": f"""
-        WITH c AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS claim_no, round(o_totalprice * 100)::BIGINT AS t FROM orders WHERE o_orderkey < 200),
+        WITH c AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS claim_no, round(o_totalprice * 100)::BIGINT AS t FROM orders),
         h AS (SELECT claim_no, '10' AS record_type, unnest([{{'f': 'type', 't': '10'}}, {{'f': 'order', 't': lpad(k::VARCHAR, 10, '0')}}, {{'f': 'total', 't': lpad(t::VARCHAR, 12, '0')}}]) AS x FROM c),
         l AS (SELECT claim_no, '20' AS record_type, unnest([{{'f': 'type', 't': '20'}}, {{'f': 'order', 't': lpad(l_orderkey::VARCHAR, 10, '0')}}, {{'f': 'line', 't': lpad(l_linenumber::VARCHAR, 2, '0')}},
               {{'f': 'charge', 't': lpad({_CHARGE}::VARCHAR, 10, '0')}}, {{'f': 'day', 't': strftime(l_shipdate, '%Y%m%d')}}, {{'f': 'flag', 't': l_returnflag}}, {{'f': 'mode', 't': l_linestatus}}]) AS x FROM c JOIN lineitem ON l_orderkey = k)

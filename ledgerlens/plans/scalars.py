@@ -50,10 +50,10 @@ def provider_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Names with their parts swapped agree with the names."""
+    """Names with their parts swapped agree with the names; some hold a form label's word."""
     name = F.regexp_replace("c_name", "#", " ")
     swapped = F.concat(F.element_at(F.split(name, " "), -1), F.lit(", "), F.element_at(F.split(name, " "), 1))
-    return table(spark, d, "customer").select("c_custkey", X.name_key(swapped).alias("key"), X.label_contaminated(F.col("c_name")).alias("contaminated"))
+    return table(spark, d, "customer").select("c_custkey", X.name_key(swapped).alias("key"), X.label_contaminated(F.concat("c_name", F.when(F.col("c_custkey") % 7 == 0, " Insured").when(F.col("c_custkey") % 11 == 0, " Insuredx").otherwise(""))).alias("contaminated"))
 
 
 def error_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -68,11 +68,12 @@ def redacted_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typed_values(spark: SparkSession, d: str) -> DataFrame:
-    """How documents' first words fit the data types."""
-    word = F.split(F.col("text"), r"\s+")[0]
+    """How documents' words fit the data types; each distinct word is tested once."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", "[ \\n]+")).alias("word")).filter("trim(word) <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     kinds = F.explode(F.array(*[F.lit(k) for k in V.TYPE_PATTERNS])).alias("kind")
-    rows = table(spark, d, "documents").select(word.alias("word"), kinds)
-    return rows.groupBy("kind").agg(F.count_if(V.valid_type(F.col("word"), F.col("kind"))).alias("valid"), F.round(F.sum(V.type_score(F.col("word"), F.col("kind"))), 2).alias("score"))
+    rows = words.select("word", "n", kinds)
+    fits, score = V.valid_type(F.col("word"), F.col("kind")), V.type_score(F.col("word"), F.col("kind"))
+    return rows.groupBy("kind").agg(F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("valid"), F.round(F.sum(score * F.col("n")), 2).alias("score"))
 
 
 def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -141,15 +142,15 @@ ORACLES = {
         SELECT s_suppkey, {_LUHN.format(x='x')} AS checksum, {_LUHN.format(x='full_x')} % 10 = 0 AS valid, coalesce(y, '') AS repaired FROM t LEFT JOIN one USING (s_suppkey)""",
     "name_keys": """
         SELECT c_custkey, trim(regexp_replace(regexp_replace(upper(split_part(replace(c_name, '#', ' '), ' ', 1) || ' ' || split_part(replace(c_name, '#', ' '), ' ', -1)), '[^A-Z ]', ' ', 'g'), ' +', ' ', 'g')) AS key,
-               false AS contaminated FROM customer""",
+               c_custkey % 7 = 0 AS contaminated FROM customer""",
     "error_rates": "SELECT p_partkey, round(levenshtein(lower(p_brand), lower(p_type)) / length(p_brand), 6) AS rate FROM part",
     "redacted_events": "SELECT '[REDACTED]' AS member, event_type AS kind, count(*) AS n FROM events GROUP BY event_type",
     "typed_values": r"""
-        WITH w AS (SELECT trim(regexp_split_to_array(text, '\s+')[1]) AS v FROM documents),
-        k AS (SELECT * FROM (VALUES ('date', '(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})'), ('amount', '\$?-?[0-9,]+(\.\d{2})?'), ('digits', '\d+'), ('code', '[A-Z0-9.]{3,8}'),
-              ('name', '[A-Za-z][A-Za-z ,.''-]+')) k(kind, p)),
-        s AS (SELECT kind, v <> '' AND regexp_full_match(v, p) AS ok, v <> '' AND regexp_matches(v, CASE WHEN kind IN ('date', 'amount', 'digits') THEN '\d' ELSE '[A-Za-z]' END) AS part FROM w, k)
-        SELECT kind, count(*) FILTER (ok) AS valid, round(sum(CASE WHEN ok THEN 1 WHEN part THEN 0.5 ELSE 0 END), 2) AS score FROM s GROUP BY kind""",
+        WITH w AS (SELECT v, count(*) AS n FROM (SELECT trim(unnest(regexp_split_to_array(text, '[ \n]+'))) AS v FROM documents) WHERE v <> '' GROUP BY 1),
+        p AS (SELECT n, regexp_matches(v, '\d') AS d, regexp_matches(v, '[A-Za-z]') AS l, regexp_full_match(v, '(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})') AS date,
+                     regexp_full_match(v, '\$?-?[0-9,]+(\.\d{2})?') AS amount, regexp_full_match(v, '\d+') AS digits, regexp_full_match(v, '[A-Z0-9.]{3,8}') AS code, regexp_full_match(v, '[A-Za-z][A-Za-z ,.''-]+') AS name FROM w),
+        s AS (SELECT n, unnest([{'k': 'date', 'ok': date, 'part': d}, {'k': 'amount', 'ok': amount, 'part': d}, {'k': 'digits', 'ok': digits, 'part': d}, {'k': 'code', 'ok': code, 'part': l}, {'k': 'name', 'ok': name, 'part': l}]) AS x FROM p)
+        SELECT x.k AS kind, coalesce(sum(n) FILTER (x.ok), 0)::BIGINT AS valid, round(sum(n * CASE WHEN x.ok THEN 1 WHEN x.part THEN 0.5 ELSE 0 END), 2) AS score FROM s GROUP BY 1""",
     "box_overlaps": f"""
         WITH {_BOX} SELECT l_linenumber, round(sum(ov / (own + 625 - ov)), 4) AS iou, round(sum(ov / own), 4) AS inside, round(sum(area), 4) AS area,
                count(*) FILTER (ov / (own + 625 - ov) >= 0.5) AS n_half FROM o GROUP BY l_linenumber""",

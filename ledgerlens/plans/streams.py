@@ -90,8 +90,8 @@ def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retry_escalation(spark: SparkSession, d: str) -> DataFrame:
-    """The next kind of event to try for each user after the kinds of the first of a month."""
-    seen = table(spark, d, "events").filter("event_id % 7 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("attempted"))
+    """The next kind of event to try for each user on each day, after that day's kinds."""
+    seen = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("attempted"))
     n = E.next_attempt(["view", "click", "purchase", "logout", "login"], F.col("attempted"))
     return seen.groupBy(F.coalesce(n, F.lit("NONE")).alias("next")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -128,7 +128,7 @@ ORACLES = {
         SELECT 'hits' AS side, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 2 = 0
         UNION ALL SELECT 'misses', count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)""",
     "retry_escalation": """
-        WITH s AS (SELECT user_id, list(DISTINCT event_type) AS a FROM events WHERE event_id % 7 = 0 GROUP BY 1)
+        WITH s AS (SELECT user_id, list(DISTINCT event_type) AS a FROM events GROUP BY user_id, ts::DATE)
         SELECT coalesce(CASE WHEN len(a) < 3 THEN list_filter(['view', 'click', 'purchase', 'logout', 'login'], lambda x: NOT list_contains(a, x))[1] END, 'NONE') AS next, count(*) AS n FROM s GROUP BY 1""",
     "workflow_audit": """
         WITH s AS (SELECT o_totalprice > 1000 AS a, o_totalprice < 400000 AS b, o_orderstatus <> 'O' AS c FROM orders),

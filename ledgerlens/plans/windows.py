@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ledgerlens.operators import ranking as R
 from ledgerlens.session import table
@@ -36,10 +36,12 @@ def candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    """Return flags of an order's lines as values, suppliers as families, discounts as scores."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_suppkey", (F.col("l_discount") * 10).alias("score"))
-    out = R.reconcile_evidence(rows, ["l_orderkey"], "l_returnflag", "l_suppkey", "score")
-    return out.groupBy("l_returnflag", "verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("best"), 4).alias("best"))
+    """Return flags of an order's lines as values, suppliers as families, discounts as scores; urgent orders have a reference."""
+    known = F.when(F.col("o_orderpriority") == "1-URGENT", F.when(F.col("o_orderstatus") == "O", " n").otherwise("R"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), known.alias("reference"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_suppkey", (F.col("l_discount") * 10).alias("score")).join(orders, "l_orderkey", "left")
+    out = R.reconcile_evidence(rows, ["l_orderkey"], "l_returnflag", "l_suppkey", "score", "reference")
+    return out.groupBy("l_returnflag", "families", "verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
 
 def role_islands(spark: SparkSession, d: str) -> DataFrame:
@@ -65,10 +67,13 @@ def daily_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of each user's events, with one event in 50 altered after hashing: rows and broken links."""
+    """Chains of each user's events; one event in 50 is altered with its hash and the next one's pointer: rows, broken links, last hash."""
     payload = F.concat_ws("|", F.col("event_id").cast("string"), F.col("event_type"))
     chained = R.chain_hashes(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", payload)
-    altered = chained.withColumn("event_type", F.when(F.col("event_id") % 50 == 0, "altered").otherwise(F.col("event_type")))
+    hit, w = F.col("event_id") % 50 == 0, W.partitionBy("user_id").orderBy("event_id")
+    altered = chained.withColumn("event_type", F.when(hit, "altered").otherwise(F.col("event_type")))
+    altered = altered.withColumn("event_hash", F.when(hit, F.sha2(F.concat("previous_hash", payload), 256)).otherwise(F.col("event_hash")))
+    altered = altered.withColumn("previous_hash", F.lag("event_hash", 1, R.START).over(w))
     return R.verify_chain(altered, ["user_id"], "event_id", payload)
 
 
@@ -134,12 +139,16 @@ ORACLES = {
         SELECT *, row_number() OVER w AS rank, coalesce(score - lead(score) OVER w < 0.03::DOUBLE, false) AS close
         FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber DESC)""",
     "evidence_reconciliation": """
-        WITH g AS (SELECT l_orderkey, l_returnflag, count(DISTINCT l_suppkey) AS families, max(l_discount * 10) AS best FROM lineitem GROUP BY ALL),
-        t AS (SELECT *, row_number() OVER w AS rn, lead(families) OVER w AS f2, lead(best) OVER w AS b2 FROM g
-              WINDOW w AS (PARTITION BY l_orderkey ORDER BY families DESC, best DESC, l_returnflag)),
-        v AS (SELECT *, CASE WHEN coalesce(f2 = families AND best - b2 < 0.05::DOUBLE, false) THEN 'CONFLICT' WHEN families >= 2 AND best >= 0.45::DOUBLE THEN 'ACCEPT' ELSE 'REVIEW' END AS verdict
-              FROM t WHERE rn = 1)
-        SELECT l_returnflag, verdict, count(*) AS n, round(sum(best), 4) AS best FROM v GROUP BY ALL""",
+        WITH g AS (SELECT l_orderkey, l_returnflag, count(DISTINCT l_suppkey) AS families, max(l_discount * 10) AS best,
+                          any_value(CASE WHEN o_orderpriority = '1-URGENT' THEN CASE WHEN o_orderstatus = 'O' THEN 'N' ELSE 'R' END END) AS ref
+                   FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+        t AS (SELECT *, families >= 2 AS agreed, row_number() OVER w AS rn, lead(families >= 2) OVER w AS a2, lead(best) OVER w AS b2 FROM g
+              WINDOW w AS (PARTITION BY l_orderkey ORDER BY (families >= 2)::INT DESC, best DESC, l_returnflag)),
+        v AS (SELECT *, coalesce(ref = l_returnflag, false) AS hit FROM t WHERE rn = 1),
+        c AS (SELECT *, CASE WHEN hit THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, best + CASE WHEN agreed THEN 0.04::DOUBLE ELSE 0 END) END AS confidence FROM v)
+        SELECT l_returnflag, families, CASE WHEN ref IS NOT NULL AND NOT hit THEN 'CONTRADICTION' WHEN NOT hit AND coalesce(a2 = agreed AND best - b2 < 0.05::DOUBLE, false) THEN 'CONFLICT'
+                    WHEN (agreed OR hit) AND confidence >= 0.45::DOUBLE THEN 'ACCEPT' ELSE 'REVIEW' END AS verdict,
+               count(*) AS n, round(sum(round(confidence, 6)), 4) AS confidence FROM c GROUP BY ALL""",
     "role_islands": """
         WITH i AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM conversations)
         SELECT conv_id, island::BIGINT AS island, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM i GROUP BY ALL""",
@@ -154,8 +163,11 @@ ORACLES = {
         WITH s AS (SELECT event_id, round(sum(value) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events)
         SELECT *, spent <= 100 AS within FROM s""",
     "hash_chain": """
-        WITH a AS (SELECT user_id, event_id % 50 = 0 AND event_type <> 'altered' AS changed FROM events)
-        SELECT user_id, count(*) AS n, count(*) FILTER (changed) AS broken FROM a GROUP BY user_id""",
+        WITH l AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) % 50 = 0 AS after FROM events),
+        c AS (SELECT user_id, count(*) AS n, count(*) FILTER (after) AS broken, max(event_id) % 50 = 0 AS last_hit, max(event_id) AS last,
+                     list_prepend(repeat('0', 64), list(event_id || '|' || event_type ORDER BY event_id)) AS p FROM l GROUP BY 1)
+        SELECT user_id, n, broken, CASE WHEN last_hit THEN sha256(list_reduce(p[:-2], lambda a, x: sha256(a || x)) || last || '|altered')
+                                        ELSE list_reduce(p, lambda a, x: sha256(a || x)) END AS head FROM c""",
     "latest_distinct": """
         WITH n AS (SELECT l_suppkey, l_returnflag, l_linestatus, max(date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT * 100000000 + l_orderkey * 10 + l_linenumber) AS pos
                    FROM lineitem GROUP BY ALL),

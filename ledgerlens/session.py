@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; in local mode, where that is unset, one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -73,6 +75,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Rows up to which a table that is compared with all rows is broadcast.
+SMALL_ROWS = 20_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it has at most so many rows; else Spark chooses how to join it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what ``materialize`` wrote, once nothing that is still to run reads it."""
     if path := getattr(df, "scratch", None):

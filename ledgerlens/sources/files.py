@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlens.functions.values import sniff
+from ledgerlens.session import materialize
 
 CORRUPT = "_corrupt"
 
@@ -108,7 +109,8 @@ def combine_sources(sources: list[tuple[DataFrame, bool, bool]]) -> DataFrame |
 
 
 def write_reports(df: DataFrame, folder: str) -> None:
-    """A table as CSV with header and as JSON lines."""
+    """A table as CSV with header and as JSON lines, one file each; it is written once before, so only that is one task."""
+    df = materialize(df, "report")
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
     df.coalesce(1).write.mode("overwrite").json(f"{folder}/json")
 

@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ledgerlens.operators.ranking import offsets, ordered_parts
+
 from ledgerlens.functions.values import picture_length
 
 
@@ -131,18 +133,26 @@ def source_value(value: Column, kind: str) -> Column:
 
 
 def claim_numbers(lines: DataFrame, order: str, start_types: tuple[str, ...] = ("10", "BA0"), value: str = "value", part: str | None = None) -> DataFrame:
-    """Lines with the number of the claim they belong to: it rises at each line of a start type (within ``part``, a file)."""
-    w = (W.partitionBy(part) if part else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    starts = reduce(lambda a, b: a | b, [F.col(value).startswith(t) for t in start_types])
-    return lines.withColumn("claim_no", F.sum(F.when(starts, 1).otherwise(0)).over(w))
+    """Lines with the number of the claim they belong to: it rises at each line of a start type (within ``part``, a file).
+
+    Without ``part`` the lines are dealt to ranges of ``order``; numbers run within a range and start where the ranges
+    before it end, so no task has all lines.
+    """
+    starts = F.when(reduce(lambda a, b: a | b, [F.col(value).startswith(t) for t in start_types]), 1).otherwise(0)
+    upto = lambda *by: F.sum(starts).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    if part:
+        return lines.withColumn("claim_no", upto(part))
+    parts = ordered_parts(lines, order)
+    joined = parts.withColumn("claim_no", upto("__part")).join(offsets(parts, F.sum(starts)), "__part")
+    return joined.withColumn("claim_no", F.col("claim_no") + F.col("__before")).drop("__part", "__at", "__before")
 
 
-def labels(lines: DataFrame, specs: dict[str, RecordSpec], order: str, value: str = "value") -> DataFrame:
+def labels(lines: DataFrame, specs: dict[str, RecordSpec], order: str, value: str = "value", part: str | None = None) -> DataFrame:
     """Every field of every record as a row: claim_no, record_type, field, text; the first matching type counts."""
     kind = F.coalesce(*[F.when(F.col(value).startswith(t), t) for t in sorted(specs, key=len, reverse=True)])
     cells = lambda s: F.array(*[F.struct(F.lit(f.name).alias("field"), F.trim(F.substring(value, f.start, f.length)).alias("text")) for f in s.fields])
     by_type = F.coalesce(*[F.when(F.col("record_type") == t, cells(s)) for t, s in specs.items()])
-    numbered = claim_numbers(lines, order, value=value).withColumn("record_type", kind)
+    numbered = claim_numbers(lines, order, value=value, part=part).withColumn("record_type", kind)
     return numbered.select("claim_no", "record_type", F.explode(by_type).alias("c")).select("claim_no", "record_type", "c.field", "c.text")
 
 

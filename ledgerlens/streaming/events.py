@@ -13,20 +13,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ledgerlens.session import small
+
 #: The topics of the stages, in order of the flow.
 TOPICS = (
-    "document.received", "document.prepared", "page.detected", "page.classified", "fields.requested", "fields.extracted", "table.extracted", "validation.requested",
-    "validation.completed", "retry.requested", "retry.completed", "review.requested", "review.completed", "claim.decided", "output.requested", "output.completed", "audit.recorded", "dead.letter",
+    "document.received", "document.prepared", "page.classification.requested", "page.selected", "extraction.standard.requested", "extraction.unstructured.requested",
+    "extraction.completed", "validation.requested", "validation.completed", "field.retry.requested", "handwriting.extraction.requested", "vlm.requested",
+    "human.review.requested", "claim.validated", "claim.completed", "output.requested", "output.completed", "processing.dlq",
 )
+#: The pools of workers and the topics that each consumes.
+POOLS = {
+    "cpu_prep": ("document.received", "page.classification.requested"), "cpu_ocr": ("extraction.standard.requested", "field.retry.requested"),
+    "gpu_ocr": ("extraction.unstructured.requested",), "handwriting": ("handwriting.extraction.requested",), "vlm": ("vlm.requested",), "output": ("output.requested",),
+}
 ENVELOPE = T.StructType(
     [
         T.StructField("event_id", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("event_version", T.StringType()), T.StructField("occurred_at", T.TimestampType()),
         T.StructField("correlation_id", T.StringType()), T.StructField("document_id", T.StringType()), T.StructField("claim_id", T.StringType()), T.StructField("attempt", T.IntegerType()),
-        T.StructField("pipeline_version", T.StringType()), T.StructField("payload", T.StringType()),
+        T.StructField("pipeline_version", T.StringType()), T.StructField("trace_context", T.MapType(T.StringType(), T.StringType())), T.StructField("payload", T.StringType()),
     ]
 )
 
 
+def pool_of(topic: Column) -> Column:
+    """The pool of workers that consumes a topic; null for topics that none of them does."""
+    return F.coalesce(*[F.when(topic.isin(*topics), F.lit(pool)) for pool, topics in POOLS.items()])
+
+
 def kafka_source(spark: SparkSession, servers: str, topics: list[str]) -> DataFrame:
     """Topics of a Kafka cluster as (topic, key, value, timestamp); needs the connector's package on the class path."""
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", "earliest").load()
@@ -102,7 +115,7 @@ def new_tasks(tasks: DataFrame, requests: DataFrame, keys: list[str], order: str
 def retention(rows: DataFrame, received: str, tenant: str, days: DataFrame, as_of: datetime, default_days: int = 90) -> tuple[DataFrame, DataFrame]:
     """Rows that stay, and an audit row for each one deleted; ``days`` has each tenant's limit and is small."""
     limit = F.coalesce(F.col("days"), F.lit(default_days))
-    joined = rows.join(F.broadcast(days.select(tenant, "days")), tenant, "left")
+    joined = rows.join(small(days.select(tenant, "days")), tenant, "left")
     old = F.col(received).cast("timestamp") < F.lit(as_of) - F.make_interval(days=limit)
     marked = joined.withColumn("__old", F.coalesce(old, F.lit(False)))
     audit = marked.filter("__old").select(*rows.columns).withColumns({"action": F.lit("RETENTION_DELETE"), "audited_at": F.lit(as_of)})

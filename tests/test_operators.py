@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -81,8 +82,6 @@ def test_unlock_vector(spark) -> None:
 
 
 def test_near_hashes_against_all_pairs(spark) -> None:
-    import random
-
     random.seed(5)
     base = [random.getrandbits(64) for _ in range(30)]
     values = base + [b ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) for b in base] + base[:3]
@@ -91,13 +90,40 @@ def test_near_hashes_against_all_pairs(spark) -> None:
     assert found == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 4}
 
 
+def test_nearest_against_all_pairs(spark) -> None:
+    r = random.Random(3)
+    points = [(k, r.randrange(3), None if k == 7 else r.randrange(100) / 4) for k in range(80)]
+    targets = [(k, r.randrange(2), r.randrange(100) / 4) for k in range(30)]
+    found = M.nearest(spark.createDataFrame(points, "p long, k long, v double"), spark.createDataFrame(targets, "t long, k long, w double"), ["k"], "p", "t", "v", "w")
+    expected = {p: min((abs(v - w), t) for t, g, w in targets if g == k) for p, k, v in points if v is not None and k < 2}
+    assert {r.p: (r.distance, r.t) for r in found.collect()} == expected
+
+
+def test_numbers_over_ranges(spark) -> None:
+    made = spark.range(1000).select((F.col("id") * 7 % 1009).alias("k")).repartition(6)
+    assert sorted((r.k, r.number) for r in R.numbered(made, "k").collect()) == [(k, n) for n, k in enumerate(sorted(i * 7 % 1009 for i in range(1000)))]
+
+
 def test_clustering_and_conflicts(spark) -> None:
     tokens = spark.createDataFrame([(1, "b", 50.0, 0.0, 60.0, 10.0), (1, "a", 0.0, 2.0, 9.0, 12.0), (1, "c", 0.0, 30.0, 9.0, 40.0)], "page_id long, text string, x0 double, y0 double, x1 double, y1 double")
     assert [(r.line, r.place, r.text) for r in L.cluster_lines(tokens).orderBy("line", "place").collect()] == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c")]
-    boxes = spark.createDataFrame(
-        [(1, "f", 0.9, 0.0, 0.0, 5.0, 5.0), (1, "g", 0.8, 1.0, 1.0, 4.0, 4.0), (1, "g", 0.5, 9.0, 9.0, 12.0, 12.0)], "page_id long, field string, score double, x0 double, y0 double, x1 double, y1 double"
-    )
-    assert {(r.field, r.score) for r in L.settle_conflicts(boxes).collect()} == {("f", 0.9), ("g", 0.5)}
+    boxes = [(1, "f", 0.9, 0.5, 0.0, 0.0, 5.0, 5.0), (1, "g", 0.8, 0.5, 0.02, 0.0, 5.0, 5.04), (1, "g", 0.5, 0.5, 1.0, 1.0, 4.0, 4.0), (1, "h", 0.7, 0.5, 9.0, 9.0, 12.0, 12.0), (1, "i", 0.7, 0.6, 9.0, 9.0, 12.0, 12.0)]
+    kept = L.settle_conflicts(spark.createDataFrame(boxes, "page_id long, field string, score double, mapping double, x0 double, y0 double, x1 double, y1 double"))
+    # g loses the box it shares with f to one decimal, not the one inside it; h loses to i by mapping and has no other.
+    assert {(r.field, r.score) for r in kept.collect()} == {("f", 0.9), ("g", 0.5), ("i", 0.7)}
+
+
+def test_line_rules_differ(spark) -> None:
+    def lines(rule: str, *boxes: tuple) -> list:
+        tokens = spark.createDataFrame([(1, t, float(x), float(y), float(x) + 5, float(y) + h) for t, x, y, h in boxes], "page_id long, text string, x0 double, y0 double, x1 double, y1 double")
+        return [r.t for r in L.cluster_lines(tokens, rule).groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda w: w["text"]), "").alias("t")).orderBy("line").collect()]
+
+    # Centres 2.5 apart at height 4: within 3, but not within 0.55 of the height.
+    low = (("a", 0, 0, 4), ("b", 9, 2.5, 4))
+    assert lines("baseline", *low) == ["ab"] and lines("nearest", *low) == ["a", "b"]
+    # Tops 0 and 5: a high token reaches the line above by its own height; by centres it is too far.
+    tall = (("a", 0, 0, 6), ("b", 9, 5, 20))
+    assert lines("block", *tall) == ["ab"] and lines("nearest", *tall) == ["a", "b"] and lines("baseline", *tall) == ["a", "b"]
 
 
 def test_order_does_not_matter(spark) -> None:
