@@ -146,6 +146,91 @@ def po_box(x: Column) -> Column:
     return F.nullif(F.regexp_extract(F.upper(F.coalesce(x, F.lit(""))), r"\bP\.?\s*O\.?\s*BOX\s*([0-9]+)", 1), F.lit(""))
 
 
+#: Name suffixes, words of address labels, ends of street names, and engines by family, the first that a name holds.
+NAME_SUFFIXES = ("JR", "SR", "II", "III", "IV")
+ADDRESS_LABELS = r"\b(PATIENT|ADDRESS|CITY|STATE|ZIP|INSURED)\b"
+ENGINE_FAMILIES = (
+    ("rapidocr", "RAPIDOCR_FAMILY"), ("paddle", "PADDLE_FAMILY"), ("pp-ocr", "PADDLE_FAMILY"), ("tesseract", "TESSERACT_FAMILY"), ("gemini", "GEMINI_FAMILY"), ("textract", "TEXTRACT_FAMILY"),
+    ("trocr", "TROCR_FAMILY"), ("florence", "FLORENCE_FAMILY"), ("got-ocr", "GOT_OCR_FAMILY"), ("got_ocr", "GOT_OCR_FAMILY"), ("azure", "AZURE_READ_FAMILY"),
+)
+
+
+def engine_family(engine: Column) -> Column:
+    """The family of an engine's name; a name of no family is its own."""
+    name = F.lower(engine)
+    return F.coalesce(*[F.when(name.contains(part), F.lit(family)) for part, family in ENGINE_FAMILIES], F.upper(engine))
+
+
+def canonical_name(name: Column, aliases: dict[str, str]) -> Column:
+    """The field that a name stands for; other names stand for themselves."""
+    if not aliases:
+        return name
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[name], name)
+
+
+def name_interpretations(x: Column, convention: str | None = None) -> Column:
+    """The distinct ways to read a complete name, as structs (first, middle, last, suffix, convention), those of a convention first.
+
+    A comma puts the last name before it; without one, and besides, the name is read in both orders.
+    """
+    text = F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ ,.]+|[ ,.]+$", "")
+    kind = lambda first, middle, last, suffix, how: F.struct(first.alias("first"), middle.alias("middle"), last.alias("last"), suffix.alias("suffix"), F.lit(how).alias("convention"))
+    tokens = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    joined = lambda a: F.array_join(a, " ")
+    rest = tokens(F.trim(F.regexp_extract(text, r"^[^,]*,(.*)$", 1)))
+    final = F.regexp_replace(F.upper(F.get(rest, F.size(rest) - 1)), r"\.+$", "")
+    suffix = F.when(final.isin(*NAME_SUFFIXES), final).otherwise("")
+    given = F.when(suffix != "", F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+    every = tokens(F.replace(text, F.lit(","), F.lit("")))
+    n, blank = F.size(every), F.lit("")
+    ways = [
+        F.when(text.contains(",") & (F.size(given) > 0), kind(F.get(given, F.lit(0)), joined(F.slice(given, 2, F.size(given))), F.trim(F.regexp_extract(text, "^([^,]*),", 1)), suffix, "LAST_FIRST")),
+        F.when(n >= 2, kind(F.get(every, F.lit(0)), joined(F.slice(every, 2, F.greatest(n - 2, F.lit(0)))), F.get(every, n - 1), blank, "FIRST_LAST")),
+        F.when(n >= 2, kind(F.get(every, F.lit(1)), joined(F.slice(every, 3, n)), F.get(every, F.lit(0)), blank, "LAST_FIRST")),
+    ]
+    found = F.array_distinct(F.filter(F.array(*ways), lambda w: w.isNotNull()))
+    if convention:
+        found = F.concat(F.filter(found, lambda w: w["convention"] == convention), F.filter(found, lambda w: w["convention"] != convention))
+    return found
+
+
+def clean_city(x: Column) -> Column:
+    """A city's name in upper case, without other signs; null if nothing is left, or a label."""
+    city = F.upper(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z .'-]", " "), r"^[ .'-]+|[ .'-]+$", ""), r"\s+", " ")))
+    return F.when(city.rlike(r"^[A-Z][A-Z .'-]+$") & ~city.rlike(ADDRESS_LABELS), city)
+
+
+def clean_secondary_name(x: Column, split_md: bool = True) -> Column:
+    """A second name without an initial that the next word repeats; MD at the end is a word of its own."""
+    text = F.upper(F.regexp_replace(x, "[.:'\u00b7\uff1a\ufffd]+", " "))
+    if split_md:
+        text = F.regexp_replace(text, r"(?<=[A-Z])MD$", " MD")
+    parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    kept = F.filter(F.transform(parts, lambda w, i: F.when((F.length(w) == 1) & F.coalesce(F.startswith(F.get(parts, i + 1), w), F.lit(False)), F.lit(None)).otherwise(w)), lambda w: w.isNotNull())
+    return F.array_join(kept, " ")
+
+
+def box_with_zip(address: Column, postal: Column) -> Column:
+    """A PO box whose number has a misread sign, completed from the last four digits of a nine-digit code; else the address.
+
+    The digits before the sign stay; the code's last four follow, less what they repeat of those digits' end.
+    """
+    digits_ = F.regexp_replace(F.coalesce(postal, F.lit("")), r"\D", "")
+    number = F.regexp_extract(F.upper(address), r"^\s*PO\s+BOX\s+([0-9OBISL/]+)\s*$", 1)
+    head = F.regexp_extract(number, r"^\d+", 0)
+    tail = F.substring(digits_, 6, 4)
+    repeated = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.when((k <= F.length(head)) & (F.right(head, k) == F.left(tail, k)), k).otherwise(0)))
+    usable = (F.length(digits_) == 9) & number.rlike("[OBISL/]") & (head != "")
+    return F.when(F.coalesce(usable, F.lit(False)), F.concat(F.lit("PO BOX "), head, F.substring(tail, repeated + 1, F.lit(4)))).otherwise(address)
+
+
+def zone_score(x0: Column, y0: Column, x1: Column, y1: Column, zone: tuple, width: Column, height: Column, tolerance: float = 0.08) -> Column:
+    """1 where a box's centre, as shares of the page, lies in a zone, 0.65 within the tolerance of it, else 0."""
+    cx, cy = (x0 + x1) / 2 / F.greatest(width, F.lit(1)), (y0 + y1) / 2 / F.greatest(height, F.lit(1))
+    within = lambda t: cx.between(zone[0] - t, zone[2] + t) & cy.between(zone[1] - t, zone[3] + t)
+    return F.when(within(0.0), 1.0).when(within(tolerance), 0.65).otherwise(0.0)
+
+
 def agreement_key(field: Column, value: Column) -> Column:
     """The form in which two readings of a field are compared; amounts keep their point, so 10.00 isn't 1000."""
     name = F.lower(field)

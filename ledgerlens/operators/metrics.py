@@ -133,6 +133,58 @@ def gates(row: DataFrame, conditions: dict[str, Column], keep: list[str]) -> Dat
     return row.select(*keep, failed.alias("__failed")).select(*keep, F.array_join("__failed", ",").alias("blockers"), (F.size("__failed") == 0).alias("passed"))
 
 
+#: What shadow traffic has to reach before it may serve.
+SHADOW_POLICY = {
+    "claims": 300, "accepted_critical": 1000, "review": 0.2, "review_upper": 0.25, "segment_review": 0.3, "false_accepts": 0.001, "critical_false_accepts": 0, "critical_precision": 0.999, "crop_recall": 0.95,
+}
+
+
+def shadow_gates(rows: DataFrame, prohibited: DataFrame, policy: dict[str, float]) -> DataFrame:
+    """The rates of shadow claims and the gates that they fail, in one row.
+
+    ``rows`` (claim_id, segment, group_id, review, locked, shadow_only, parity, governed, and numbers of fields accepted,
+    accepted_critical, correct_critical, false_accepts, critical_false_accepts, wrong_crops, crops_found); ``prohibited``
+    names group_ids of training and calibration. A rate of nothing fails its gate.
+    """
+    flags = {"locked": "LOCKED_HOLDOUT", "parity": "RUNTIME_PARITY", "governed": "ROUTE_GOVERNANCE", "shadow_only": "SHADOW_ONLY"}
+    numbers = ("accepted", "accepted_critical", "correct_critical", "false_accepts", "critical_false_accepts", "wrong_crops", "crops_found")
+    met = rows.join(prohibited.select("group_id").distinct().withColumn("__hit", F.lit(True)), "group_id", "left")
+    per = met.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("review").alias("k"), F.coalesce(F.bool_or("__hit"), F.lit(False)).alias("hit"), *[F.bool_and(F.coalesce(c, F.lit(False))).alias(c) for c in flags], *[F.sum(c).alias(c) for c in numbers]
+    )
+    total = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("claims"), F.sum("k").alias("k"), F.max(F.col("k") / F.col("n")).alias("segment_review"), F.bool_or("hit").alias("hit"), *[F.bool_and(c).alias(c) for c in flags], *[F.sum(c).alias(c) for c in numbers]
+    )
+    n, k = F.col("claims").cast("double"), F.col("k").cast("double")
+    rates = {
+        "review": ratio(k, n), "review_upper": wilson(k, n), "segment_review": F.col("segment_review"), "false_accept_rate": ratio(F.col("false_accepts"), F.col("accepted")),
+        "critical_precision": ratio(F.col("correct_critical"), F.col("accepted_critical")), "crop_recall": ratio(F.col("crops_found"), F.col("wrong_crops")),
+    }
+    row = total.select("*", *[F.round(c, 6).alias(f"r_{name}") for name, c in rates.items()])
+    conditions = {
+        "LOCKED_HOLDOUT": F.col("locked"), "SOURCE_DISJOINT": ~F.coalesce("hit", F.lit(False)), "MINIMUM_CLAIMS": F.col("claims") >= policy["claims"], "MINIMUM_ACCEPTED_CRITICAL_FIELDS": F.col("accepted_critical") >= policy["accepted_critical"],
+        "CLAIM_HITL": F.col("r_review") <= policy["review"], "CLAIM_HITL_UPPER_95": F.col("r_review_upper") < policy["review_upper"], "SEGMENT_CLAIM_HITL": F.col("r_segment_review") <= policy["segment_review"],
+        "FALSE_ACCEPT_RATE": F.col("r_false_accept_rate") <= policy["false_accepts"], "CRITICAL_FALSE_ACCEPTS": F.col("critical_false_accepts") <= policy["critical_false_accepts"],
+        "CRITICAL_ACCEPTED_PRECISION": F.col("r_critical_precision") >= policy["critical_precision"], "WRONG_CROP_RECALL": F.col("r_crop_recall") >= policy["crop_recall"],
+        "RUNTIME_PARITY": F.col("parity"), "ROUTE_GOVERNANCE": F.col("governed"), "SHADOW_ONLY": F.col("shadow_only"),
+    }
+    out = gates(row.select(F.struct("*").alias("r"), "*"), conditions, ["r"])
+    return out.select("r.claims", *[F.col(f"r.r_{name}").alias(name) for name in rates], "blockers", "passed")
+
+
+def routing_summary(rows: DataFrame, by: str, expected: str, predicted: str, route: str, expected_route: str, standard: tuple[str, ...], fixed: tuple[str, ...], latency: str) -> DataFrame:
+    """Of each group and of all (group ALL): documents, accuracy of family and route, precision and recall of the standard families, standard routes given to other documents, and latency."""
+    known, nominated = F.col(expected).isin(*standard), F.col(predicted).isin(*standard)
+    hit = F.coalesce(F.col(expected) == F.col(predicted), F.lit(False))
+    found = rows.groupingSets([[F.col(by)], []], F.col(by)).agg(
+        F.grouping(by).alias("__all"), F.count(F.lit(1)).alias("documents"), F.round(F.avg(hit.cast("int")), 6).alias("family_accuracy"),
+        F.round(F.avg(F.coalesce(F.col(route) == F.col(expected_route), F.lit(False)).cast("int")), 6).alias("route_accuracy"),
+        F.round(ratio(F.count_if(nominated & known), F.count_if(nominated)), 6).alias("nomination_precision"), F.round(ratio(F.count_if(known & hit), F.count_if(known)), 6).alias("nomination_recall"),
+        F.count_if(~known & F.col(route).isin(*fixed)).alias("false_standard"), F.round(nearest_rank(latency, 0.95), 6).alias("p95"), F.round(F.avg(latency), 4).alias("mean"),
+    )
+    return found.withColumn(by, F.when(F.col("__all") == 1, "ALL").otherwise(F.col(by))).drop("__all")
+
+
 def segment_rates(df: DataFrame, segment: str, event: Column) -> DataFrame:
     """Rate of an event by segment with the bounds of its score interval."""
     out = df.groupBy(segment).agg(F.count(F.lit(1)).alias("n"), F.count_if(event).alias("k"))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import accuracy, claims, decisions, governance, policies, qualification, records, scalars, streams, tpch, windows
+from ledgerlens.plans import accuracy, authority, claims, decisions, governance, policies, qualification, records, scalars, streams, tpch, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "accuracy_summary"
 
-for _module in (accuracy, claims, decisions, governance, policies, qualification, records, scalars, streams, tpch, windows):
+for _module in (accuracy, authority, claims, decisions, governance, policies, qualification, records, scalars, streams, tpch, windows):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
