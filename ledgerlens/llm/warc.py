@@ -73,16 +73,17 @@ def build_record(page_id: str | None, url: str | None, payload: bytes, digest: s
 
 
 def train_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from the records' first bytes; empty where Zstandard finds too little to build one."""
+    """A dictionary from the first ``RECORD_SAMPLE`` bytes of the records; those bytes themselves where Zstandard finds too little to build one."""
     import zstandard
 
     samples = [x[:RECORD_SAMPLE] for x in records]
+    plain = b"".join(samples)[:DICTIONARY_BYTES]
     if len(samples) < 8:
-        return b""
+        return plain
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples, k=200, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return plain
 
 
 def write_archive(records: Iterator[bytes], out: io.RawIOBase) -> tuple[int, int]:
@@ -177,7 +178,10 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, rev
         .drop("n")
     )
     revisit = F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull())
-    return rows.join(groups, "digest", "left").select(
+    # What is too small to be a revisit has no part in the join.
+    joined = rows.filter(F.col("size") >= revisit_bytes).join(groups, "digest", "left")
+    short = rows.filter(F.col("size") < revisit_bytes).withColumn("first_id", F.lit(None).cast(rows.schema["page_id"].dataType))
+    return joined.unionByName(short).select(
         F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.lower(F.hex("digest")).alias("digest"),
         revisit.alias("revisit"), F.when(revisit, F.col("first_id").cast("string")).alias("refers_to"),
     )
@@ -248,7 +252,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                         yield packed(rows)
 
     files = manifest.select("path")
-    return files.repartition(max(1, min(files.count(), 4096)), "path").mapInArrow(read, RECORDS)
+    return files.repartition(max(1, files.count()), "path").mapInArrow(read, RECORDS)
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
