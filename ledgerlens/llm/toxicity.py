@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ledgerlens.llm.arrow import bound_batches, blocks, cut, words
 from ledgerlens.session import materialize, table
 
+#: Labels that are broadcast at most (a number or short id and a label each).
+BROADCAST_LABELS = 1_000_000
 TRAIN_DOCS = 20_000
 THRESHOLD = 0.7
 LEXICON = 1024
@@ -252,10 +254,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model of the labelled texts among ``docs``; ``labels`` has id_col and label_col."""
     bound_batches(docs.sparkSession)
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
+    n = labels.count()
     part = F.xxhash64("text").bitwiseAND((1 << 30) - 1) / float(1 << 30)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    texts = texts.filter(part < min(1.0, train_docs / max(1, labels.count())))
-    chosen = texts.join(labels, "id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
+    texts = texts.filter(part < min(1.0, train_docs / max(1, n)))
+    # Labels are broadcast if they are few, so that only labelled texts are shuffled.
+    labels = F.broadcast(labels) if n <= BROADCAST_LABELS else labels
+    chosen = texts.join(labels, "id").groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
     chosen = materialize(chosen.select("text", "label"), "toxicity-sample")
     lexicon = learn_lexicon(chosen)
 
