@@ -3,13 +3,16 @@
 For every participant of a conversation the dialogue is rendered once with that speaker as the assistant: own turns
 become ``assistant`` turns and carry the training mask, the turns of all others become ``user`` turns with the
 speaker's name, and ``system`` turns stay as they are and give no perspective. A rendered turn is
-``<|im_start|>ROLE name=NAME\\nTEXT<|im_end|>\\n``, the name only for users.
+``<|im_start|>ROLE name=NAME\\nTEXT<|im_end|>\\n``, the name only for users; marks inside names and texts are written
+``<\\|im_``, line ends in names as blanks, so that no speaker can forge a turn.
 
 The result has one row for each turn of each perspective, so that a conversation of any length is never gathered in
 one task; ``render`` joins the turns of a perspective to blocks of text with mask spans. The participants of a
 conversation are found by partial aggregation, and the join that brings them to the turns is one that adaptive
 execution splits when a conversation is hot.
 
+Turns of one number are in order of what they render to. Very long texts are whole; a block holds 64 turn numbers.
+
 Defined results: a null or empty role is the participant ``unknown``; a null text is empty; repeated rows are rendered
 each; conversations of system turns only, and an empty table, give no rows; a null conv_id is a conversation of its
 own; further columns are ignored.
@@ -31,6 +34,11 @@ def _speaker(role: Column) -> Column:
     return F.when(F.coalesce(F.trim(role), F.lit("")) == "", UNKNOWN).otherwise(F.trim(role))
 
 
+def _escaped(text: Column) -> Column:
+    """A text whose own marks can't be taken for those of turns."""
+    return F.replace(text, F.lit("<|im_"), F.lit("<\\|im_"))
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, perspective, turn, role, name, text, rendered, mask (1: the loss counts), mask_start, mask_length.
 
@@ -60,13 +68,15 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         "text",
         own.cast("int").alias("mask"),
     )
-    head = F.concat(F.lit("<|im_start|>"), F.col("role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
-    rendered = F.concat(head, F.col("text"), F.lit("<|im_end|>\n"))
+    text = _escaped(F.col("text"))
+    name = F.regexp_replace(_escaped(F.col("name")), r"[\r\n]+", " ")
+    head = F.concat(F.lit("<|im_start|>"), F.col("role"), F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    rendered = F.concat(head, text, F.lit("<|im_end|>\n"))
     return views.withColumns(
         {
             "rendered": rendered,
             "mask_start": F.when(F.col("mask") == 1, F.char_length(head)).otherwise(0),
-            "mask_length": F.when(F.col("mask") == 1, F.char_length("text") + F.lit(len("<|im_end|>"))).otherwise(0),
+            "mask_length": F.when(F.col("mask") == 1, F.char_length(text) + F.lit(len("<|im_end|>"))).otherwise(0),
         }
     )
 
@@ -100,27 +110,26 @@ def render(turns: DataFrame, block_turns: int = BLOCK_TURNS, **columns: str) ->
 
 
 def op10_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of every perspective of ``conversations``."""
-    return rotate(table(spark, sf_dir, "conversations")).select(
-        "conv_id", "perspective", "turn", "role", "name", "rendered", "mask", "mask_start", "mask_length"
-    )
+    """The rendered dialogues of every perspective of ``conversations``, with the spans (start:length) where the loss counts."""
+    spans = F.array_join(F.transform("mask_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
+    return render(table(spark, sf_dir, "conversations")).withColumn("mask_spans", spans)
 
 
 QUERIES = {"op10_chat_views": op10_chat_views}
 ORACLES = {
     "op10_chat_views": r"""
         WITH t AS (
-            SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+            SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<\|im_') AS text FROM conversations),
         p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
         v AS (
             SELECT t.conv_id, perspective, turn, text,
                    CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
-                   CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name
+                   CASE WHEN speaker <> 'system' AND speaker <> perspective THEN regexp_replace(replace(speaker, '<|im_', '<\|im_'), '[\r\n]+', ' ', 'g') END AS name
             FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-        h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM v)
-        SELECT conv_id, perspective, turn, role, name, head || text || '<|im_end|>' || chr(10) AS rendered,
-               CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS mask,
-               CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END AS mask_start,
-               CASE WHEN role = 'assistant' THEN length(text) + 10 ELSE 0 END AS mask_length
-        FROM h""",
+        h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM v),
+        r AS (SELECT *, turn // 64 AS block, head || text || '<|im_end|>' || chr(10) AS rendered FROM h),
+        w AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn, rendered ROWS UNBOUNDED PRECEDING) - length(rendered) AS pos FROM r)
+        SELECT conv_id, perspective, block, count(*)::INT AS n_turns, string_agg(rendered, '' ORDER BY turn, rendered) AS text,
+               coalesce(string_agg((pos + length(head))::BIGINT || ':' || (length(text) + 10), ',' ORDER BY turn, rendered) FILTER (role = 'assistant'), '') AS mask_spans
+        FROM w GROUP BY 1, 2, 3""",
 }
