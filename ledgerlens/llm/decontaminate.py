@@ -42,7 +42,7 @@ FEATURE_BITS = 14
 FEATURES = 1 << FEATURE_BITS
 SKETCH, RANK = 128, 64
 WINDOW, STRIDE = 32, 16
-COSINE = 0.38
+COSINE = 0.45
 LCS, ANSWER_SHARE, SURE = 0.55, 0.33, 0.85
 #: Least shares for items of fewer words than SHORT.
 SHORT, STRICT = 16, (0.6, 0.5)
