@@ -6,7 +6,8 @@ begins there. The phrases needed, times log2 of the reference's length and divid
 its cross-entropy in bits a letter; the language with the lowest estimate wins.
 
 The automaton's transitions are a hash table of (state, letter), so that a few array operations step all blocks of a
-batch by a letter. Texts are parsed whole, in blocks of ``BLOCK`` letters between which a phrase ends. Letters are
+batch by a letter. Texts are parsed whole: their blocks of ``BLOCK`` letters are first stepped side by side, then again
+from where the block before ended, until both parses meet, so that no phrase ends because a block does. Letters are
 folded to lower case; every letter of any reference text is itself, whatever its script, letters of none are one that
 no language knows, and runs of anything else are one space.
 
@@ -39,6 +40,8 @@ UNKNOWN = "und"
 REF_DOCS, REF_LETTERS, PIECE = 200, 60_000, 4000
 SALTS = 64
 BLOCK = 512
+#: Parses of a block are compared each time so many letters are done.
+MARK = 32
 #: Classes besides letters: no letter at all, and letters that no reference has.
 SPACE, OTHER = 0, 1
 _PIECE = 1 << 20
@@ -140,6 +143,50 @@ def suffix_automaton(letters: np.ndarray, classes: int) -> Automaton:
     return Automaton(nexts, classes)
 
 
+def phrase_ends(moves: Automaton, letters: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How many phrases end within each block: ``size[b]`` letters, in falling order, of column b of ``letters``.
+
+    A block goes on where block ``before[b]`` ended, or begins a text if that is -1. All blocks are parsed from the
+    first state; those that begin in another one are parsed again, up to a mark where the state is that of their last
+    parse, as from there on both are the same. Only a block that ends in another state than before changes the next.
+    """
+    blocks = len(size)
+    after = np.full(blocks, -1)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
+    states = np.full((len(letters) // MARK, blocks), -1)
+    counts = np.zeros_like(states)
+    begun, end, total = (np.zeros(blocks, np.int64) for _ in range(3))
+    todo = np.arange(blocks)
+    while len(todo):
+        live, state, count = todo, begun[todo], np.zeros(len(todo), np.int64)
+        for k in range(len(letters)):
+            n = len(live)
+            while n and size[live[n - 1]] <= k:
+                n -= 1
+            if n < len(live):
+                end[live[n:]], total[live[n:]] = state[n:], count[n:]
+                live, state, count = live[:n], state[:n], count[:n]
+            if not n:
+                break
+            state, ended = moves.step(state, letters[k].take(live))
+            count = count + ended
+            if (k + 1) % MARK == 0:
+                at = k // MARK
+                same = states[at, live] == state
+                if same.any():
+                    met, more = live[same], count[same] - counts[at, live[same]]
+                    counts[at:, met] += more
+                    total[met] += more
+                    live, state, count = live[~same], state[~same], count[~same]
+                states[at, live], counts[at, live] = state, count
+        end[live], total[live] = state, count
+        todo = after[todo]
+        todo = todo[todo >= 0]
+        todo = np.sort(todo[begun[todo] != end[before[todo]]])
+        begun[todo] = end[before[todo]]
+    return total
+
+
 def to_classes(texts: list[str], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all texts on end, runs of SPACE as one; and where each text ends."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -181,6 +228,9 @@ class Languages:
         begin = starts[owner] + order * BLOCK
         size = np.minimum(BLOCK, ends[owner] - begin)
         by_size = np.argsort(-size, kind="stable")
+        place = np.empty_like(by_size)
+        place[by_size] = np.arange(len(by_size))
+        before = np.where(order[by_size] > 0, place[by_size - 1], -1)
         owner, begin, size = owner[by_size], begin[by_size], size[by_size]
         some = np.r_[0, np.cumsum(found > SPACE)]
         lettered = some[ends] > some[starts]
@@ -194,13 +244,7 @@ class Languages:
                 n = active[k]
                 letters[k, :n] = found[begin[:n] + k]
             for lang, moves in enumerate(self.moves):
-                at = np.zeros(len(owner), np.int64)
-                phrases = np.ones(len(owner), np.int64)
-                for k in range(steps):
-                    n = active[k]
-                    at[:n], ended = moves.step(at[:n], letters[k, :n])
-                    phrases[:n] += ended
-                needed[lang] = np.bincount(owner, phrases, len(texts))
+                needed[lang] = np.bincount(owner, phrase_ends(moves, letters, size, before), len(texts)) + (length > 0)
         return needed.T * np.array(self.bits) / np.maximum(length, 1)[:, None], lettered
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:

@@ -217,16 +217,21 @@ def test_other_tokenizer_goes_through_its_library() -> None:
 
 def test_automaton_phrases_against_brute_force() -> None:
     r = random.Random(3)
-    reference, text = ("".join(r.choice("abc") for _ in range(n)) for n in (300, 200))
-    model = language_id.Languages({"x": [reference], "y": ["zzz"]})
-    known, phrases, at = reference + " ", 0, 0
-    while at < len(text):
-        n = 1
-        while at + n < len(text) and text[at : at + n + 1] in known:
-            n += 1
-        phrases, at = phrases + 1, at + n
-    bits, _ = model.estimates([text])
-    assert bits[0][0] == pytest.approx(phrases * model.bits[0] / len(text))
+    reference, runs = "".join(r.choice("abc") for _ in range(300)), "a" * 40 + "b"
+    texts = ["".join(r.choice("abc") for _ in range(n)) for n in (200, 511, 512, 513, 5000, 1)] + ["", "a" * 4000, "ab" * 1500, runs * 90]
+    for known in (reference, runs * 7):
+        model = language_id.Languages({"x": [known], "y": ["zzz"]})
+        bits, _ = model.estimates(texts)
+        for text, found in zip(texts, bits, strict=True):
+            phrases, at = 0, 0
+            while at < len(text):
+                n = 1
+                while at + n < len(text) and text[at : at + n + 1] in known + " ":
+                    n += 1
+                phrases, at = phrases + 1, at + n
+            if set(text) <= set(known):
+                assert found[0] == pytest.approx(phrases * model.bits[0] / max(1, len(text)))
+            assert found[0] == pytest.approx(model.estimates([text])[0][0][0])
 
 
 def test_language_id_held_out_accuracy(spark) -> None:
@@ -242,6 +247,9 @@ def test_language_id_odd_texts(spark) -> None:
     assert [found[k] for k in (0, 1, 2, 11)] == [("und", 0.0)] * 4
     assert found[12][0] == "en" and found[13][0] in ("de", "en")
     assert {r.lang_pred for r in language_id.identify(docs(spark, ODD), ()).collect()} == {"und"}
+    assert language_id.identify(docs(spark, ODD).limit(0), refs).count() == 0
+    tied = (("b", refs[0][1]), ("a", refs[0][1]))
+    assert {(r.lang_pred, r.score) for r in language_id.identify(docs(spark, ["der die", "ist und " * 900]), tied).collect()} == {("a", 0.5)}
     assert language_id.references(docs(spark, ODD).withColumn("lang", F.lit(None).cast("string")), "lang", "text") == ()
 
 
