@@ -158,6 +158,37 @@ def homography(matrix: list[list[float]], x: Column, y: Column) -> Column:
     return F.struct(F.try_divide(row(0), row(2)).alias("x"), F.try_divide(row(1), row(2)).alias("y"))
 
 
+def mapped_region(b: Column, matrix: Column, width: Column, height: Column) -> Column:
+    """A box moved by a 3 x 3 projective matrix (array of rows): its polygon, the box around that on the page, and a reason.
+
+    The polygon must be convex and the box, clipped to the page and rounded half to even, must have an area. Without
+    width or height that side isn't clipped; a null box or matrix is invalid.
+    """
+    corners = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((b["x0"], b["y0"]), (b["x1"], b["y0"]), (b["x1"], b["y1"]), (b["x0"], b["y1"]))])
+    along = lambda r, c: F.get(F.get(matrix, r), 0) * c["x"] + F.get(F.get(matrix, r), 1) * c["y"] + F.get(F.get(matrix, r), 2)
+    depth = F.transform(corners, lambda c: along(2, c))
+    polygon = F.transform(corners, lambda c: F.struct(F.try_divide(along(0, c), along(2, c)).alias("x"), F.try_divide(along(1, c), along(2, c)).alias("y")))
+    # Each corner with the two that follow it: the turn there, beside the sides' directions.
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - q["y"]) - (q["y"] - p["y"]) * (r["x"] - q["x"])
+    turns = F.filter(F.array(*[turn(polygon[k], polygon[(k + 1) % 4], polygon[(k + 2) % 4]) for k in range(4)]), lambda t: F.abs(t) > 1e-7)
+    convex = (F.size(turns) > 0) & (F.abs(F.aggregate(turns, F.lit(0), lambda n, t: n + F.signum(t).cast("int"))) == F.size(turns))
+    of = lambda name: F.transform(polygon, lambda c: c[name])
+    side = lambda name, most: (F.greatest(F.lit(0.0), F.array_min(of(name))), F.least(most.cast("double"), F.array_max(of(name))))
+    ends = {name: [F.when(most.isNull(), free).otherwise(cut) for free, cut in zip((F.array_min(of(name)), F.array_max(of(name))), side(name, most), strict=True)] for name, most in (("x", width), ("y", height))}
+    found = box(*[F.bround(ends[name][k]).cast("long") for k in (0, 1) for name in ("x", "y")])
+    sound = (b["x1"] > b["x0"]) & (b["y1"] > b["y0"]) & (F.size(matrix) == 3) & F.forall(matrix, lambda r: F.coalesce(F.size(r), F.lit(0)) == 3)
+    endless = F.exists(polygon, lambda c: F.exists(F.array(c["x"], c["y"]), lambda v: F.isnan(v) | (F.abs(v) == float("inf"))))
+    reason = (
+        F.when(~F.coalesce(sound, F.lit(False)), "INVALID_SOURCE_OR_MATRIX")
+        .when(F.exists(depth, lambda d: F.abs(d) < 1e-9), "DEGENERATE_TRANSFORM")
+        .when(endless, "NONFINITE_TRANSFORM")
+        .when(~convex, "INVALID_TRANSFORMED_POLYGON")
+        .when((found["x1"] <= found["x0"]) | (found["y1"] <= found["y0"]), "TRANSFORM_OUTSIDE_PAGE")
+        .otherwise("TRANSFORMED_POLYGON_VALID")
+    )
+    return F.struct(F.when(reason == "TRANSFORMED_POLYGON_VALID", found).alias("box"), polygon.alias("polygon"), reason.alias("reason"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers, 0 if either has no length."""
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)

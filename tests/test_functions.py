@@ -99,3 +99,25 @@ def test_python_functions(spark) -> None:
     assert frame.select(S.named_id(F.col("b"), space)).first()[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, "hallo"))
     text = spark.createDataFrame([('{"a": {"email": "x", "k": [ {"ssn": 1} ]}}',), ("no",)], "x string")
     assert [r[0] for r in text.select(S.redact_deep(F.col("x"), ("email", "ssn"))).collect()] == ['{"a": {"email": "[REDACTED]", "k": [{"ssn": "[REDACTED]"}]}}', None]
+
+
+@pytest.mark.parametrize(
+    ("matrix", "size", "found", "reason"),
+    [
+        ([[1, 0, 5], [0, 1, 6], [0, 0, 1]], (None, None), (15, 26, 35, 46), "TRANSFORMED_POLYGON_VALID"),
+        ([[1, 0, 5], [0, 1, 6], [0, 0, 1]], (30, 40), (15, 26, 30, 40), "TRANSFORMED_POLYGON_VALID"),
+        ([[1, 0, 0.5], [0, 1, 1.5], [0, 0, 1]], (None, None), (10, 22, 30, 42), "TRANSFORMED_POLYGON_VALID"),
+        ([[1, 0, 50], [0, 1, 6], [0, 0, 1]], (30, 40), None, "TRANSFORM_OUTSIDE_PAGE"),
+        ([[1, 0, 0], [0, 1, 0], [-0.1, 0, 1]], (None, None), None, "DEGENERATE_TRANSFORM"),
+        ([[1, 0, 0], [0, 1, 0], [-0.05, 0.0, 1]], (None, None), None, "INVALID_TRANSFORMED_POLYGON"),
+        ([[1, 0, 0], [1, 0, 0], [0, 0, 1]], (None, None), None, "INVALID_TRANSFORMED_POLYGON"),
+        ([[1e308, 0, 0], [0, 1, 0], [0, 0, 1]], (None, None), None, "NONFINITE_TRANSFORM"),
+        ([[1, 0, 0], [0, 1, 0]], (None, None), None, "INVALID_SOURCE_OR_MATRIX"),
+        (None, (None, None), None, "INVALID_SOURCE_OR_MATRIX"),
+    ],
+)
+def test_mapped_region(spark, matrix, size, found, reason) -> None:
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in matrix]) if matrix else F.lit(None).cast("array<array<double>>")
+    source = V.box(*[F.lit(float(v)) for v in (10, 20, 30, 40)])
+    got = one(spark, V.mapped_region(source, rows, *[F.lit(v).cast("double") for v in size]))
+    assert (got.reason, got.box and tuple(got.box)) == (reason, found)
