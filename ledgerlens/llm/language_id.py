@@ -42,6 +42,8 @@ SALTS = 64
 BLOCK = 512
 #: Parses of a block are compared each time so many letters are done.
 MARK = 32
+#: So few blocks are stepped letter by letter, one after the other, as arrays would cost more.
+FEW = 16
 #: Classes besides letters: no letter at all, and letters that no reference has.
 SPACE, OTHER = 0, 1
 _PIECE = 1 << 20
@@ -114,6 +116,18 @@ class Automaton:
         return np.where(ended, self.start.take(letter), entry & ((1 << self.bits) - 1)), ended
 
 
+    def walk(self, state: int, letters: list[int]) -> Iterator[tuple[int, bool]]:
+        """``step`` for one text, letter by letter."""
+        bits, shift, last, spread = int(self.bits), int(self.shift), self.last, int(_SPREAD)
+        for letter in letters:
+            key = letter << bits | state
+            at = (key * spread & 0xFFFFFFFFFFFFFFFF) >> shift
+            while (entry := self.table.item(at)) >= 0 and entry >> bits != key:
+                at = (at + 1) & last
+            state = self.start.item(letter) if entry < 0 else entry & (1 << bits) - 1
+            yield state, entry < 0
+
+
 def suffix_automaton(letters: np.ndarray, classes: int) -> Automaton:
     """The suffix automaton of ``letters``."""
     nexts, link, length, last = [{}], [-1], [0], 0
@@ -158,7 +172,22 @@ def phrase_ends(moves: Automaton, letters: np.ndarray, size: np.ndarray, before:
     begun, end, total = (np.zeros(blocks, np.int64) for _ in range(3))
     todo = np.arange(blocks)
     while len(todo):
-        live, state, count = todo, begun[todo], np.zeros(len(todo), np.int64)
+        for b in todo if len(todo) <= FEW else ():
+            n = 0
+            for k, (at, ended) in enumerate(moves.walk(int(begun[b]), letters[: size[b], b].tolist())):
+                n += ended
+                if (k + 1) % MARK == 0:
+                    mark = k // MARK
+                    if states[mark, b] == at:
+                        more = n - counts[mark, b]
+                        counts[mark:, b] += more
+                        total[b] += more
+                        break
+                    states[mark, b], counts[mark, b] = at, n
+            else:
+                end[b], total[b] = at, n
+        live = todo if len(todo) > FEW else todo[:0]
+        state, count = begun[live], np.zeros(len(live), np.int64)
         for k in range(len(letters)):
             n = len(live)
             while n and size[live[n - 1]] <= k:
@@ -179,7 +208,8 @@ def phrase_ends(moves: Automaton, letters: np.ndarray, size: np.ndarray, before:
                     total[met] += more
                     live, state, count = live[~same], state[~same], count[~same]
                 states[at, live], counts[at, live] = state, count
-        end[live], total[live] = state, count
+        if len(live):
+            end[live], total[live] = state, count
         todo = after[todo]
         todo = todo[todo >= 0]
         todo = np.sort(todo[begun[todo] != end[before[todo]]])
