@@ -13,7 +13,7 @@ text where several texts share it.
 
 Defined results: empty and null texts form one group; of equal texts the largest id stays; rows that repeat the
 largest id are all marked kept; a null id stays only if its whole group has none; an empty table gives no rows;
-further columns are ignored.
+very long texts are compared whole; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -68,6 +68,13 @@ def test_exact_groups_even_with_weak_digests(spark, digest) -> None:
     assert sorted(map(tuple, found.collect()), key=str) == brute_exact(pairs)
 
 
+def test_exact_nothing_and_very_long(spark) -> None:
+    assert exact_dedup.drop_copies(docs(spark, ["a"]).limit(0)).count() == 0
+    long = "aB c" * 200_000
+    kept = exact_dedup.drop_copies(docs(spark, [long, long.upper(), long + "d", long]))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [2, 3]
+
+
 def test_drop_copies(spark) -> None:
     pairs = [(1, "a"), (2, "A"), (2, "A"), (3, "b"), (None, "c"), (None, "c"), (None, "a"), (5, "z"), (5, "y")]
     kept = exact_dedup.drop_copies(docs(spark, pairs))
